@@ -33,7 +33,8 @@ from .common import quoted, remove, table, text_or_empty
 SLOTS = 1 << 20
 PREFIXES = (3, 4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
+_SLICE = 256  # rows featurised at a time, which bounds a worker's memory
 
 
 def word_slots(word: str) -> tuple[int, ...]:
@@ -114,16 +115,22 @@ def train(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = words(t.as_py())
-                slots = sorted({s for w in set(tokens) for s in word_slots(w)})
-                out.append((int(y), *_sketches(tokens), slots))
-            y, a, b, slots = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(y, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(slots, pa.list_(pa.int32()))],
-                names=["y", "a", "b", "slots"],
-            )
+            for k in range(0, batch.num_rows, _SLICE):
+                y, a, b, flat, ends = [], [], [], [], [0]
+                part = batch.slice(k, _SLICE)
+                for label, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    tokens = words(t.as_py())
+                    slots = np.unique(np.array([s for w in set(tokens) for s in word_slots(w)], np.int32))
+                    first, second = _sketches(tokens)
+                    y.append(int(label))
+                    a.append(first)
+                    b.append(second)
+                    flat.append(slots)
+                    ends.append(ends[-1] + len(slots))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(y, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], names=["y", "a", "b", "slots"]
+                )
 
     raw, path = table(joined.mapInArrow(features, "y int, a bigint, b bigint, slots array<int>"), "toxic-sample")
     one = raw.groupBy("a").agg(F.min_by(F.struct("y", "b", "slots"), F.struct("b", "y", F.size("slots"))).alias("r")).select("r.*")
