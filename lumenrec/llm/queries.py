@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, packing, secrets, simhash, toxicity
+from . import chat_format, exact_dedup, media, packing, secrets, sentence_piece, simhash, token_counts, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -78,6 +82,19 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentence_piece.encode_table(_documents(spark, sf_dir))
+    return sentence_piece.decode_table(encoded).withColumnRenamed("id", "doc_id")
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.images(_documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(_documents(spark, sf_dir))
     return groups.select(
@@ -91,6 +108,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
         "op4_simhash": op4_simhash,
+        "op5_token_counts": op5_token_counts,
         "op6_chat_format": op6_chat_format,
+        "op7_warc": op7_warc,
+        "op8_sentence_piece": op8_sentence_piece,
+        "op9_media": op9_media,
         "op10_exact_dedup": op10_exact_dedup,
     }
