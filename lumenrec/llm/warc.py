@@ -11,7 +11,7 @@ a WARC-Date from the 14-digit ARC date, a type and SHA-1 digests.  Of records
 with equal payloads of ``least`` or more bytes, that with the smallest page id
 is the response; the others are revisits without payload that refer to it.
 
-Archives are files in the shared folder, written by Spark.  A record's end,
+Archives are gzip files in the shared folder, written by Spark.  A record's end,
 CR LF CR LF, serves as the text writer's line separator, so any file system
 that Spark knows will do.  Readers go by declared lengths alone.
 
@@ -24,6 +24,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from .common import new_path
 CRLF = "\r\n"
 _V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 _V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
-_ARC_BYTES = 4 << 20
+_ARC_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -175,7 +176,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def pages_to_arc(pages: DataFrame) -> DataFrame:
-    """(archive binary): each partition's pages as ARC files of about 4 MB, versions 1 and 2 in turn.
+    """(archive binary): each partition's pages as ARC files of about 1 MB, versions 1 and 2 in turn.
 
     The stored content is an HTTP response whose headers carry the page id.
     """
@@ -242,7 +243,7 @@ def decide(ids: DataFrame, least: int) -> DataFrame:
     )
 
 
-def write_warc(archives: DataFrame, path: str, least: int = 0, records_per_file: int = 2000) -> None:
+def write_warc(archives: DataFrame, path: str, least: int = 0, records_per_file: int = 1000) -> None:
     """Convert ARC archives to WARC files under ``path``."""
     records = convert(archives)
     ids = records.select("page_id", "sha1", F.octet_length("payload").alias("n"))
@@ -259,7 +260,7 @@ def write_warc(archives: DataFrame, path: str, least: int = 0, records_per_file:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
     made = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    made.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -274,7 +275,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 out = []
-                for headers, block in read_warc(content.as_py()):
+                for headers, block in read_warc(gzip.decompress(content.as_py())):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     told = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = int(re.search(rb"Content-Length: (\d+)", head)[1])
