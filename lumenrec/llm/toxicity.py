@@ -147,7 +147,7 @@ def train(
     chosen = [r.slot for r in counts.filter(F.col("d") >= 5).withColumn("gap", gap).filter(F.col("gap") >= z).orderBy(F.desc("gap"), "slot").limit(max_slots).collect()]
     place = {s: i for i, s in enumerate(chosen)}
     keep = F.array_intersect("slots", F.array(*[F.lit(s) for s in chosen]).cast("array<int>"))
-    data = rows.select("y", keep.alias("slots")).orderBy("y", "slots").collect()  # at most max_rows
+    data = sorted(rows.select("y", keep.alias("slots")).collect())  # at most max_rows, in an order of their own
     remove(docs.sparkSession, path2)
     x, y = np.zeros((len(data), len(chosen)), np.float32), np.array([r.y for r in data], np.float64)
     for i, r in enumerate(data):
