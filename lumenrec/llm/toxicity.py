@@ -6,8 +6,8 @@ standard deviations on the training rows enter the model: a bias, a weight per
 slot and a ``rank``-vector per slot, so that pairs of terms interact.
 
 Training rows: a bounded sample of labelled rows (``max_rows``, by hash of the
-id) outside the held-out fold, of which rows that share a word-triple sketch
-with another (copies) count once.  Class counts are added up by Spark; only the
+id) outside the held-out fold, of which rows of one class that share a word-triple
+sketch (copies) count once.  Class counts are added up by Spark; only the
 selected slots of the sample reach the driver.  Every row's whole text is scored.
 
 Defined results: null and empty texts get the bias's score; without training
@@ -133,8 +133,8 @@ def train(
                 )
 
     raw, path = table(joined.mapInArrow(features, "y int, a bigint, b bigint, slots array<int>"), "toxic-sample")
-    one = raw.groupBy("a").agg(F.min_by(F.struct("y", "b", "slots"), F.struct("b", "y", F.size("slots"))).alias("r")).select("r.*")
-    rows, path2 = table(one.groupBy("b").agg(F.min_by(F.struct("y", "slots"), F.struct("y", F.size("slots"))).alias("r")).select("r.*"), "toxic-rows")
+    one = raw.groupBy("y", "a").agg(F.min_by(F.struct("y", "b", "slots"), F.struct("b", F.size("slots"))).alias("r")).select("r.*")
+    rows, path2 = table(one.groupBy("y", "b").agg(F.min_by(F.struct("y", "slots"), F.size("slots")).alias("r")).select("r.*"), "toxic-rows")
     remove(docs.sparkSession, path)
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or not 0 < n1 < n:
