@@ -260,7 +260,7 @@ def write_warc(archives: DataFrame, path: str, least: int = 0, records_per_file:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
     made = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    made.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
