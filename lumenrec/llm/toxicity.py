@@ -32,7 +32,7 @@ from .common import quoted, remove, table, text_or_empty
 
 SLOTS = 1 << 20
 PREFIXES = (3, 4, 5)
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 200_000
 _SLICE = 256  # rows featurised at a time, which bounds a worker's memory
 
