@@ -2,9 +2,9 @@
 
 1. Tokenise: a document is its ids plus the end id.  Documents over ``size`` are
    cut into pieces of exactly ``size``, the first piece taking the rest.
-2. Full pieces are sequences of their own.  The others are dealt by hash into
-   groups of about ``group_rows`` pieces; each group is packed in one bounded
-   task.  Only (id, piece, length) travels, never tokens.
+2. Pieces are dealt by hash into groups of at most about ``group_rows``; each
+   group is packed in one bounded task.  Only places and lengths travel, never
+   tokens.  Full pieces are sequences of their own.
 3. In a group: best-fit decreasing, then swap-based local search.  Underfull
    bins exchange one piece for one, one for two, or move one, always such that
    the sum of squared fills grows, so that the emptiest bins drain and vanish.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import cut, quoted, text_or_empty
+from .common import quoted, text_or_empty
 
 SIZE, END_ID = 1024, 2
 
@@ -212,22 +212,26 @@ def pack(lengths: np.ndarray, size: int = SIZE, passes: int = 60) -> tuple[np.nd
 # ---------------------------------------------------------------- all groups
 
 
-def pack_documents(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece."""
-    rows = cut(pieces(docs, size, end_id, id_col, text_col), "pieces")
-    short = rows.filter(F.col("length") < size)
-    groups = max(1, -(-short.count() // group_rows))
-    full = rows.filter(F.col("length") == size).select(
-        "*", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
-    dealt = short.withColumn("g", F.pmod(F.xxhash64("id", "piece", "start", "length", "ids_crc32"), F.lit(groups)))
+def pack_documents(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, group_rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece.
+
+    A token has one byte at least, so rows + bytes / size bounds the number of
+    pieces, and with it the rows of a group.
+    """
+    length = F.octet_length(text_or_empty(quoted(text_col)))
+    n, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    groups = max(1, -(-(n + n_bytes // size) // group_rows))
+    rows = pieces(docs, size, end_id, id_col, text_col)
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("id", "piece", "start", "length", "ids_crc32"), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        number, offset = pack(pdf["length"].to_numpy(), size)
-        pdf["sequence_id"] = ((pdf["g"].to_numpy() << 32) + number) * 2
-        pdf["offset"] = offset
+        lengths = pdf["length"].to_numpy()
+        full = int((lengths >= size).sum())  # sequences of their own
+        number, offset = pack(lengths[full:], size)
+        pdf["sequence_id"] = (pdf["g"].to_numpy() << 32) + np.concatenate([np.arange(full), number + full])
+        pdf["offset"] = np.concatenate([np.zeros(full, np.int64), offset])
         return pdf.drop(columns="g")
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.schema)
-    return full.unionByName(dealt.groupBy("g").applyInPandas(run, schema))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id bigint, offset bigint"
+    return dealt.groupBy("g").applyInPandas(run, schema)

@@ -55,7 +55,7 @@ def test_ids_are_the_library_s():
 def test_table(spark):
     rows = [(1, "hello world", 9), (2, None, 9), (2, "", 9), (3, "many words here " * 3000, 9), (4, "hello world", 9), (None, "x", 9)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, piece int")
-    got = packing.pack_documents(d, group_rows=3).collect()
+    got = packing.pack_documents(d, group_rows=20).collect()
     tok, want = byte_bpe.library(), []
     for i, t, _ in rows:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
