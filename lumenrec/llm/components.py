@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .common import remove, table
 
 
+_ROWS_PER_FILE = 250_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` (a, b), in any order, repeats allowed -> (v, label), label = smallest v reachable.
 
@@ -25,7 +28,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both, both_path = table(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
     )
-    labels, path = table(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    files = 1 + both.count() // _ROWS_PER_FILE  # small graphs make few files, large ones many
+    labels, path = table(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")).coalesce(files), "labels")
     for _ in range(max_rounds):
         seen = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("label").alias("low"))
         hooked = labels.join(seen, labels.v == seen.a).select("v", "label", F.least("label", "low").alias("new"))
@@ -35,7 +39,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         up = lower.select(F.col("v").alias("u"), F.col("label").alias("up"))
         jumped = lower.join(up, lower.label == up.u, "left").select("v", F.least("label", F.coalesce("up", "label")).alias("label"))
         before, old = labels, path
-        labels, path = table(jumped, "labels")
+        labels, path = table(jumped.coalesce(files), "labels")
         was = before.select("v", F.col("label").alias("was"))
         still = labels.join(was, "v").filter("label <> was").isEmpty()
         remove(spark, old)

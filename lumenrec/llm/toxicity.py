@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text: its distinct lower-case words and the words' first three to
-five letters, hashed to 2**20 slots.  Slots whose class counts differ by ``z``
+Terms of a text: its distinct lower-case words, the words' first three to seven
+letters (stems), and stems that two or four distinct words share, hashed to
+2**20 slots.  Slots whose class counts differ by ``z``
 standard deviations on the training rows enter the model: a bias, a weight per
 slot and a ``rank``-vector per slot, so that pairs of terms interact.
 
@@ -19,6 +20,7 @@ null id or null class are ignored; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -31,19 +33,33 @@ from pyspark.sql import functions as F
 from .common import quoted, remove, table, text_or_empty
 
 SLOTS = 1 << 20
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6, 7)
+#: A stem makes a further term once this many distinct words share it.
+LEVELS = (2, 4)
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 200_000
 _SLICE = 256  # rows featurised at a time, which bounds a worker's memory
 
 
 def word_slots(word: str) -> tuple[int, ...]:
-    """The word's slot and those of its prefixes (which carry a mark of their own)."""
+    """The word's slot and those of its stems (which carry a mark of their own)."""
     out = [crc32(word.encode("utf-8", "surrogatepass")) % SLOTS]
     out += [crc32(f"{word[:n]}\x00".encode("utf-8", "surrogatepass")) % SLOTS for n in PREFIXES if len(word) > n]
     return tuple(out)
 
 
+def level_slots(slot: int) -> list[int]:
+    """The slot itself and its slots for each level."""
+    return [(slot + k * 0x9E377) % SLOTS for k in range(len(LEVELS) + 1)]
+
+
+def text_slots(tokens: list[str]) -> np.ndarray:
+    """Sorted slots of a text."""
+    count = Counter(s for w in set(tokens) for s in word_slots(w))
+    out = [level_slots(s)[k] for s, n in count.items() for k, least in enumerate((1, *LEVELS)) if n >= least]
+    return np.unique(np.array(out, np.int32))
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -71,21 +87,30 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rank: int = 8, epochs: int = 40, rate: float = 0.03, decay: float = 2e-3, seed: int = 7):
-    """Adam on the log loss of 0/1 rows ``x``; returns bias, weights, vectors."""
+def fit(x: np.ndarray, y: np.ndarray, rank: int = 8, epochs: int = 30, rate: float = 0.02, decay: float = 1e-3, seed: int = 7, least_steps: int = 3000, drop_rows: float = 0.5, keep: float = 0.15):
+    """Adam on the log loss of 0/1 rows ``x``; returns bias, weights, vectors.  Few rows are passed more often.
+
+    Half of the rows of a batch lose most of their terms at random, so that one
+    telling term suffices where training texts hold several.
+    """
     rng = np.random.default_rng(seed)
     n, k = x.shape
     base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     par = [np.array([np.log(base / (1 - base))]), np.zeros(k), rng.normal(0, 0.02, (k, rank))]
     m1, m2, step = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par], 0
+    epochs = max(epochs, -(-least_steps // max(1, -(-n // 256))))
     for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, 256):
             pick = order[at : at + 256]
             xb, yb = x[pick].astype(np.float64), y[pick]
+            thin = rng.random(len(pick)) < drop_rows
+            xb[thin] *= rng.random((int(thin.sum()), k)) < keep
+            told = (yb == 0) | ~thin | xb.any(axis=1)  # a toxic row that lost all its terms says nothing
+            xb, yb = xb[told], yb[told]
             s = xb @ par[2]
             raw = par[0] + xb @ par[1] + 0.5 * (s**2 - (xb**2) @ (par[2] ** 2)).sum(1)
-            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - yb) / len(pick)
+            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - yb) / max(1, len(yb))
             grads = [
                 np.array([g.sum()]),
                 xb.T @ g + decay * par[1] / 10,
@@ -120,7 +145,7 @@ def train(
                 part = batch.slice(k, _SLICE)
                 for label, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     tokens = words(t.as_py())
-                    slots = np.unique(np.array([s for w in set(tokens) for s in word_slots(w)], np.int32))
+                    slots = text_slots(tokens)
                     first, second = _sketches(tokens)
                     y.append(int(label))
                     a.append(first)
@@ -163,16 +188,17 @@ class Scorer:
         self.machine, self.known = machine, {}
 
     def __call__(self, text: str) -> float:
-        rows, known, hit = self.machine.rows, self.known, set()
+        rows, known, hit = self.machine.rows, self.known, Counter()
         for w in set(words(text)):
             found = known.get(w)
             if found is None:
                 if len(known) >= _CACHE_WORDS:
                     known.clear()
-                found = known[w] = tuple(rows[s] for s in word_slots(w) if s in rows)
+                found = known[w] = tuple(s for s in word_slots(w) if any(x in rows for x in level_slots(s)))
             if found:
                 hit.update(found)
-        return self.machine.score(sorted(hit))
+        index = {rows[x] for s, n in hit.items() for x, least in zip(level_slots(s), (1, *LEVELS), strict=True) if n >= least and x in rows}
+        return self.machine.score(sorted(index))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
