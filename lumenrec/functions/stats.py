@@ -91,7 +91,7 @@ def bootstrap_distributed(aligned: DataFrame, rounds: int = 500, seed: int = 42)
         weight = weight + F.when(u > tail, 1).otherwise(0)
         p /= k
         tail += p
-    sums = rows.groupBy("round").agg((F.sum(weight * F.col("d")) / F.sum(weight)).alias("m"))
+    sums = rows.groupBy("round").agg(F.try_divide(F.sum(weight * F.col("d")), F.sum(weight)).alias("m"))
     return sums.agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
 
 

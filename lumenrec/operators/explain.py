@@ -97,31 +97,31 @@ def shuffled(evidence: Column, key: Column, seed: int = 42) -> Column:
     return F.transform(F.array_sort(keyed, lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)), lambda x: x["e"])
 
 
-def replace_text(records: DataFrame, corpus: DataFrame, seed: int = 42, slots: int = 64) -> DataFrame:
+def replace_text(records: DataFrame, corpus: DataFrame, seed: int = 42, per_slot: int = 64) -> DataFrame:
     """E4 for texts: as many documents of other movies as there was evidence, scores 0.
 
-    Documents are dealt by hash into slots, a record reads one slot, so neither
-    side is crossed with the other.
+    Documents are dealt by hash into slots of about ``per_slot``, a record reads
+    one slot, so neither side is crossed with the other.
     """
+    slots = max(1, corpus.count() // per_slot)
     docs = corpus.select("doc_id", F.col("movie_id").alias("m"), "text", "source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(slots)).alias("slot"))
     packed = docs.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "m", "text", "source"))).alias("docs"))
-    filled = packed.agg(F.array_sort(F.collect_list("slot")).alias("used"))
-    keyed = records.join(F.broadcast(filled)).withColumn("slot", F.expr(f"element_at(used, cast(pmod(xxhash64(user_id, movie_id, {seed}), size(used)) + 1 as int))"))
+    keyed = records.withColumn("slot", F.pmod(F.xxhash64("user_id", "movie_id", F.lit(seed)), F.lit(slots)))
     zero = F.lit(0.0)
-    other = F.filter("docs", lambda d: d["m"] != F.col("movie_id"))
+    other = F.filter(F.coalesce("docs", F.array().cast("array<struct<h:bigint,doc_id:bigint,m:bigint,text:string,source:string>>")), lambda d: d["m"] != F.col("movie_id"))
     made = F.transform(
         F.slice(other, 1, F.greatest(F.size("evidence_used"), F.lit(1))),
         lambda d: F.struct(d["doc_id"].alias("doc_id"), d["m"].alias("movie_id"), d["text"].alias("text"), d["source"].alias("source"), zero.alias("dense_score"), zero.alias("bm25_score"), zero.alias("score")),
     )
-    return keyed.join(packed, "slot", "left").withColumn("evidence_used", made).drop("docs", "slot", "used")
+    return keyed.join(packed, "slot", "left").withColumn("evidence_used", made).drop("docs", "slot")
 
 
-def replace_kg(records: DataFrame, seed: int = 42, slots: int = 64) -> DataFrame:
+def replace_kg(records: DataFrame, seed: int = 42) -> DataFrame:
     """E4 for graph evidence: distinct texts from other pairs of other movies."""
     pool = records.select("movie_id", F.explode("evidence_used").alias("e")).select(F.col("e.doc_id").alias("doc_id"), "movie_id", F.col("e.text").alias("text"), F.col("e.source").alias("source"))
     distinct = pool.filter("text <> ''").groupBy("text").agg(F.min(F.struct("movie_id", "doc_id", "source")).alias("b"))
     corpus = distinct.select(F.xxhash64("text").alias("doc_id"), F.col("b.movie_id").alias("movie_id"), "text", F.col("b.source").alias("source"))
-    return replace_text(records, corpus, seed, slots)
+    return replace_text(records, corpus, seed)
 
 
 def perturb(records: DataFrame, condition: str, evidence_mode: str, corpus: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,12 @@ CO_LIKED = 2
 
 def query(sql: str | None = None):
     def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            """Positions are bigint, as in SQL; cast last, so that window limits are still inferred."""
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("bigint") for c, t in df.dtypes if t == "int" and c in ("rank", "n")})
+
+        _QUERIES[f.__name__] = functools.wraps(f)(run)
         if sql is not None:
             _SQL[f.__name__] = sql
         return f
@@ -139,7 +145,7 @@ def movie_info_lookup(s, d):
 
 @query(with_("ix_raw", """SELECT user_id, movie_id, round(cf_score, 6) AS cf_score, kg_recall_score, rank FROM (
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cf_score DESC, movie_id) AS rank FROM (
-SELECT user_id, item_id AS movie_id, avg(rating) + item_id * 1e-6 AS cf_score, 0.0 AS kg_recall_score FROM ix_raw GROUP BY 1, item_id)) WHERE rank <= 5"""))
+SELECT user_id, item_id AS movie_id, avg(rating) + item_id * 1e-6 AS cf_score, CAST(0.0 AS DOUBLE) AS kg_recall_score FROM ix_raw GROUP BY 1, item_id)) WHERE rank <= 5"""))
 def score_column_standardize(s, d):
     raw = X.interactions_raw(s, d).groupBy("user_id", F.col("item_id").alias("movie_id")).agg(F.avg("rating").alias("a"))
     scored = readers.standard_scores(raw.select("user_id", "movie_id", (F.col("a") + F.col("movie_id") * 1e-6).alias("lgcn_score")))
