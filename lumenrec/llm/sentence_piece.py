@@ -220,8 +220,8 @@ class Encoder:
 
     # -------------------------------------------------- Viterbi
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length (-2 - code point: unknown character)."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of one length, their pieces from right to left and how many (-2 - code point: unknown character)."""
         v, n = self.v, len(words)
         codes = _codes(words)
         length = codes.shape[1]
@@ -249,19 +249,20 @@ class Encoder:
             back[:, j] = reach
             if not reach.all():
                 raise AssertionError("a prefix without an encoding")
-        tokens = [[] for _ in range(n)]
+        found = np.zeros((n, length), np.int64)  # pieces from the right end, in reverse
+        count = np.zeros(n, np.int64)
         place = np.full(n, length, np.int64)
         live = np.arange(n)
+        step = 0
         while len(live):
-            step = back[live, place[live]]
-            got = last[live, place[live]]
-            char = codes[live, place[live] - 1].astype(np.int64)
-            got = np.where(got == _UNKNOWN, -2 - char, got)
-            for w, t in zip(live.tolist(), got.tolist(), strict=True):
-                tokens[w].append(t)
-            place[live] -= step
+            at = place[live]
+            got = last[live, at]
+            found[live, step] = np.where(got == _UNKNOWN, -2 - codes[live, at - 1].astype(np.int64), got)
+            count[live] += 1
+            place[live] = at - back[live, at]
             live = live[place[live] > 0]
-        return [np.array(t[::-1], np.int64) for t in tokens]
+            step += 1
+        return found, count
 
     def _learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
@@ -270,18 +271,28 @@ class Encoder:
         for length, same in by_length.items():
             step = max(1, min(20_000, (1 << 21) // (length + 1)))
             for k in range(0, len(same), step):
-                for w, tokens in zip(same[k : k + step], self.viterbi(same[k : k + step]), strict=True):
-                    self.words[w] = self._pack(w, tokens)
-
-    def _pack(self, word: str, tokens: np.ndarray) -> bytes:
-        if (tokens < 0).any():
+                self._keep(same[k : k + step], *self.viterbi(same[k : k + step]))
+
+    def _keep(self, words: list[str], found: np.ndarray, count: np.ndarray) -> None:
+        """Stores each word's ids as bytes, and checks that the pieces spell the words."""
+        width = found.shape[1]
+        column = count[:, None] - 1 - np.arange(width)
+        inside = column >= 0
+        flat = np.take_along_axis(found, np.maximum(column, 0), axis=1)[inside]  # left to right, word after word
+        ends = np.cumsum(count)
+        spelled = b"".join([self.bytes_of[t] if t >= 0 else chr(-2 - t).encode("utf-8", "surrogatepass") for t in flat.tolist()])
+        if spelled != "".join(words).replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+            raise AssertionError("a hash collision: the pieces do not spell the words")
+        packed = np.maximum(flat, 0).astype("<u2").tobytes()
+        known, before = self.words, 0
+        for w, end in zip(words, ends.tolist(), strict=True):
+            known[w] = packed[2 * before : 2 * end]
+            before = end
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), side="right")).tolist():
             out: list[int] = []
-            for t in tokens.tolist():
+            for t in flat[ends[k] - count[k] : ends[k]].tolist():
                 out += [t] if t >= 0 else [self.v.fallback[b] for b in chr(-2 - t).encode("utf-8", "surrogatepass")]
-            tokens = np.array(out, np.int64)
-        if b"".join([self.bytes_of[t] for t in tokens.tolist()]) != word.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
-            raise AssertionError("a hash collision: the pieces do not spell the word")
-        return tokens.astype("<u2").tobytes()
+            known[words[k]] = np.array(out, "<u2").tobytes()
 
     def _run(self, n: int) -> bytes:
         """Ids of ``n`` spaces."""
@@ -299,33 +310,42 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint16 ids of each text."""
-        split = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        split = [_UNITS.findall(t) for t in marked]
         known = self.words
         if len(known) > _KEPT_WORDS:
             known.clear()
-        missing = {w for units in split for w in units if w not in known and not (w[0] == SPACE and w[-1] == SPACE)}
-        self._learn(sorted(missing))
-        out = []
+        seen: set[str] = set()
         for units in split:
-            parts: list[bytes] = []
-            gap = 0
-            for w in units:
-                if w[0] == SPACE and w[-1] == SPACE:
-                    gap += len(w)
-                    continue
-                ids = known[w]
-                if gap:
-                    if w[0] == SPACE and ids[:2] == self.lone_space:  # the word left its space to the run
-                        parts.append(self._run(gap + 1))
-                        ids = ids[2:]
-                    else:
-                        parts.append(self._run(gap))
-                    gap = 0
-                parts.append(ids)
+            seen.update(units)
+        seen.difference_update(known)
+        self._learn([w for w in seen if w.strip(SPACE)])
+        known[SPACE] = self.lone_space
+        return [
+            np.frombuffer(self._with_runs(units) if SPACE * 2 in t else b"".join([known[w] for w in units]), "<u2")
+            for t, units in zip(marked, split, strict=True)
+        ]
+
+    def _with_runs(self, units: list[str]) -> bytes:
+        """Ids of a text that has runs of spaces."""
+        parts: list[bytes] = []
+        gap = 0
+        for w in units:
+            if not w.strip(SPACE):
+                gap += len(w)
+                continue
+            ids = self.words[w]
             if gap:
-                parts.append(self._run(gap))
-            out.append(np.frombuffer(b"".join(parts), "<u2"))
-        return out
+                if w[0] == SPACE and ids[:2] == self.lone_space:  # the word left its space to the run
+                    parts.append(self._run(gap + 1))
+                    ids = ids[2:]
+                else:
+                    parts.append(self._run(gap))
+                gap = 0
+            parts.append(ids)
+        if gap:
+            parts.append(self._run(gap))
+        return b"".join(parts)
 
     def decode(self, ids: np.ndarray) -> str:
         spelled = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
