@@ -62,7 +62,8 @@ def entity_type(c):
 
 
 def entity_label(c):
-    return F.expr("substring(entity, instr(entity, '_') + 1)") if c is None else F.substring(c, F.instr(c, "_") + 1, F.lit(1 << 20))
+    """The part after the first underscore."""
+    return F.substring(c, F.locate("_", c) + 1, F.lit(1 << 20))
 
 
 def entities(kg: DataFrame) -> DataFrame:
@@ -97,6 +98,15 @@ def bfs(kg: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def subgraph(kg: DataFrame, node: str, depth: int = 2, cap: int = 80, seed: int = 42) -> DataFrame:
+    """Edges among the node and at most ``cap`` nodes around it: nearer ones first, then by seeded hash (a display operator)."""
+    seeds = kg.sparkSession.createDataFrame([(node,)], "node string")
+    near = bfs(kg, seeds, depth).orderBy("depth", F.xxhash64("node", F.lit(seed)), "node").limit(cap).select("node")
+    kept = store(near, "near")
+    e = undirected(kg).filter("src < dst")
+    return e.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
 def path_lengths(kg: DataFrame, pairs: DataFrame, limit: int = 4) -> DataFrame:
     """(user_id, item_id, hops): least hops from any history item to the candidate, null beyond ``limit``.
 
