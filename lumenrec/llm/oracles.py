@@ -27,5 +27,15 @@ FROM m GROUP BY conv_id
 """
 
 
+OP7 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(s, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6, "op10_exact_dedup": OP10}
+    return {"op7_warc": OP7, "op6_chat_format": OP6, "op10_exact_dedup": OP10}
