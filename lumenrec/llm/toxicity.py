@@ -36,6 +36,7 @@ SLOTS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
 #: A stem makes a further term once this many distinct words share it.
 LEVELS = (2, 4)
+_STEP = 0x9E377
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 200_000
 _SLICE = 256  # rows featurised at a time, which bounds a worker's memory
@@ -43,14 +44,18 @@ _SLICE = 256  # rows featurised at a time, which bounds a worker's memory
 
 def word_slots(word: str) -> tuple[int, ...]:
     """The word's slot and those of its stems (which carry a mark of their own)."""
-    out = [crc32(word.encode("utf-8", "surrogatepass")) % SLOTS]
-    out += [crc32(f"{word[:n]}\x00".encode("utf-8", "surrogatepass")) % SLOTS for n in PREFIXES if len(word) > n]
+    raw = word.encode("utf-8", "surrogatepass")
+    out = [crc32(raw) % SLOTS]
+    if len(raw) == len(word):
+        out += [crc32(b"\x00", crc32(raw[:n])) % SLOTS for n in PREFIXES if len(word) > n]
+    else:
+        out += [crc32(b"\x00", crc32(word[:n].encode("utf-8", "surrogatepass"))) % SLOTS for n in PREFIXES if len(word) > n]
     return tuple(out)
 
 
 def level_slots(slot: int) -> list[int]:
     """The slot itself and its slots for each level."""
-    return [(slot + k * 0x9E377) % SLOTS for k in range(len(LEVELS) + 1)]
+    return [(slot + k * _STEP) % SLOTS for k in range(len(LEVELS) + 1)]
 
 
 def text_slots(tokens: list[str]) -> np.ndarray:
@@ -186,15 +191,16 @@ class Scorer:
 
     def __init__(self, machine: Machine):
         self.machine, self.known = machine, {}
+        self.roots = {(x - k * _STEP) % SLOTS for x in machine.rows for k in range(len(LEVELS) + 1)}
 
     def __call__(self, text: str) -> float:
-        rows, known, hit = self.machine.rows, self.known, Counter()
+        rows, known, roots, hit = self.machine.rows, self.known, self.roots, Counter()
         for w in set(words(text)):
             found = known.get(w)
             if found is None:
                 if len(known) >= _CACHE_WORDS:
                     known.clear()
-                found = known[w] = tuple(s for s in word_slots(w) if any(x in rows for x in level_slots(s)))
+                found = known[w] = tuple(s for s in word_slots(w) if s in roots)
             if found:
                 hit.update(found)
         index = {rows[x] for s, n in hit.items() for x, least in zip(level_slots(s), (1, *LEVELS), strict=True) if n >= least and x in rows}
