@@ -11,6 +11,16 @@ STOP_WORDS = (
     "do does did will would can could not no so if its also than then"
 ).split()
 
+#: The formats of generated sentences.
+SAME_GENRE = "'%s' and '%s' both belong to the %s."
+CO_LIKED = "Users who watched '%s' also frequently watched '%s', and fans of '%s' often enjoy '%s' as well."
+CONNECTED = "'%s' connects to '%s' via %s → %s → %s."
+DIRECT = "'%s' connects to '%s' via %s."
+QUESTION = "Why should someone who enjoyed %s watch %s?"
+QUESTION_GENRES = "%s The movie is a %s film."
+CHUNK_OVERVIEW, CHUNK_TAGLINE, CHUNK_GENRE = "%s: %s", '%s — "%s"', "%s is a %s film."
+CHUNK_CAST, CHUNK_CAST_DIRECTOR, CHUNK_DIRECTOR = "%s stars %s.", "%s stars %s, directed by %s.", "%s is directed by %s."
+
 
 def tokens(text: Column) -> Column:
     """Lower-case words between white space; none for blank text."""
@@ -34,9 +44,9 @@ def sentences(text: Column, short: int = 20) -> Column:
 
 def retrieval_query(title: Column, genres: Column, history: Column, most: int = 5) -> Column:
     """The retrieval question; the genre sentence follows only where there are genres (array)."""
-    ask = F.concat(F.lit("Why should someone who enjoyed "), F.array_join(F.slice(history, 1, most), ", "), F.lit(" watch "), title, F.lit("?"))
+    ask = F.format_string(QUESTION, F.array_join(F.slice(history, 1, most), ", "), title)
     listed = F.array_join(genres, ", ")
-    return F.when(F.coalesce(listed, F.lit("")) == "", ask).otherwise(F.concat(ask, F.lit(" The movie is a "), listed, F.lit(" film.")))
+    return F.when(F.coalesce(listed, F.lit("")) == "", ask).otherwise(F.format_string(QUESTION_GENRES, ask, listed))
 
 
 def shorten(text: Column, n: int = 300) -> Column:
@@ -46,13 +56,11 @@ def shorten(text: Column, n: int = 300) -> Column:
 def path_sentence(rel1: Column, mid: Column, rel2: Column, source_title: Column, mid_title: Column, target_title: Column) -> Column:
     """A graph path as a sentence: shared genre, co-liked chain, direct link, or any other relation."""
     label = F.when(mid.startswith("genre_"), F.concat(F.substring(mid, F.lit(7), F.lit(1 << 20)), F.lit(" genre"))).when(mid.startswith("movie_"), mid_title).otherwise(mid)
-    say = F.format_string
+    first, second = (F.replace(r, F.lit("_"), F.lit(" ")) for r in (rel1, rel2))
+    both = lambda name: (rel1 == name) & (rel2 == name)
     return (
-        F.when(rel2.isNull(), say("'%s' connects to '%s' via %s.", source_title, target_title, F.replace(rel1, F.lit("_"), F.lit(" "))))
-        .when((rel1 == "has_genre") & (rel2 == "has_genre"), say("'%s' and '%s' both belong to the %s.", source_title, target_title, label))
-        .when(
-            (rel1 == "co_liked") & (rel2 == "co_liked"),
-            say("Users who watched '%s' also frequently watched '%s', and fans of '%s' often enjoy '%s' as well.", source_title, label, label, target_title),
-        )
-        .otherwise(say("'%s' connects to '%s' via %s → %s → %s.", source_title, target_title, F.replace(rel1, F.lit("_"), F.lit(" ")), label, F.replace(rel2, F.lit("_"), F.lit(" "))))
+        F.when(rel2.isNull(), F.format_string(DIRECT, source_title, target_title, first))
+        .when(both("has_genre"), F.format_string(SAME_GENRE, source_title, target_title, label))
+        .when(both("co_liked"), F.format_string(CO_LIKED, source_title, label, label, target_title))
+        .otherwise(F.format_string(CONNECTED, source_title, target_title, first, label, second))
     )

@@ -30,18 +30,20 @@ def metadata_chunks(meta: DataFrame) -> DataFrame:
         return F.array_join(c, ", ")
 
     over = meta.select("movie_id", F.posexplode(S.sentences(F.coalesce("overview", F.lit("")))).alias("p", "s"), title.alias("t"))
+    def said(form: str, *columns) -> Column:
+        return F.format_string(form, title, *columns)
+
+    def chunk(rows: DataFrame, place: int, sentence: Column, source: str) -> DataFrame:
+        return rows.select("movie_id", F.lit(place).alias("ord"), sentence.alias("text"), F.lit(source).alias("source"))
+
+    cast, lead = listed("actors"), listed("directors")
+    people = F.when(has("actors") & has("directors"), said(S.CHUNK_CAST_DIRECTOR, cast, lead)).when(has("actors"), said(S.CHUNK_CAST, cast)).otherwise(said(S.CHUNK_DIRECTOR, lead))
     parts = [
-        over.select("movie_id", (F.col("p") + 0).alias("ord"), F.concat("t", F.lit(": "), "s").alias("text"), F.lit("overview").alias("source")),
-        meta.filter(F.length(F.trim("tagline")) > 3).select("movie_id", F.lit(100_000).alias("ord"), F.concat(title, F.lit(' — "'), F.trim("tagline"), F.lit('"')).alias("text"), F.lit("tagline").alias("source")),
-        meta.filter(has("genres")).select("movie_id", F.lit(100_001).alias("ord"), F.concat(title, F.lit(" is a "), listed("genres"), F.lit(" film.")).alias("text"), F.lit("genre").alias("source")),
-        meta.filter(has("actors") | has("directors")).select(
-            "movie_id", F.lit(100_002).alias("ord"),
-            F.when(has("actors") & has("directors"), F.concat(title, F.lit(" stars "), listed("actors"), F.lit(", directed by "), listed("directors"), F.lit(".")))
-            .when(has("actors"), F.concat(title, F.lit(" stars "), listed("actors"), F.lit(".")))
-            .otherwise(F.concat(title, F.lit(" is directed by "), listed("directors"), F.lit("."))).alias("text"),
-            F.lit("cast").alias("source"),
-        ),
-    ]
+        over.select("movie_id", (F.col("p") + 0).alias("ord"), F.format_string(S.CHUNK_OVERVIEW, "t", "s").alias("text"), F.lit("overview").alias("source")),
+        chunk(meta.filter(F.length(F.trim("tagline")) > 3), 100_000, said(S.CHUNK_TAGLINE, F.trim("tagline")), "tagline"),
+        chunk(meta.filter(has("genres")), 100_001, said(S.CHUNK_GENRE, listed("genres")), "genre"),
+        chunk(meta.filter(has("actors") | has("directors")), 100_002, people, "cast"),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -190,12 +192,15 @@ def semantic_similarity(pairs: DataFrame, key: list[str]) -> DataFrame:
     return pairs.select(*key, F.when(F.size(cos) > 0, mean).otherwise(F.lit(0.0)).alias("semantic_sim"))
 
 
+#: The public scorer's model and layer.
+SCORER_MODEL, SCORER_LAYERS, SCORER_LANG = "roberta-large", 17, "en"
+
+
 def bertscore_settings(local: bool, directory: str = "models/roberta-large", rescale: bool | None = None) -> tuple[str, dict]:
     """Model name and arguments: a local model has 17 layers and no rescaling unless asked."""
-    effective = (not local) if rescale is None else bool(rescale)
-    if local:
-        return directory, {"model_type": directory, "num_layers": 17, "lang": None, "rescale_with_baseline": effective}
-    return "roberta-large", {"lang": "en", "rescale_with_baseline": effective}
+    scale = not local if rescale is None else bool(rescale)
+    own = {"model_type": directory, "num_layers": SCORER_LAYERS, "lang": None} if local else {"lang": SCORER_LANG}
+    return (directory if local else SCORER_MODEL), own | {"rescale_with_baseline": scale}
 
 
 TokenVectors = Callable[[list[str]], np.ndarray]

@@ -19,6 +19,7 @@ METADATA_JSON = T.StructType([
 ])
 CREDITS_JSON = T.StructType([T.StructField("cast", _NAMED), T.StructField("crew", _NAMED)])
 
+#: Score columns in order of preference.
 SCORE_COLUMNS = ("pred_score", "score", "final_score", "rank_score", "cf_score")
 
 
@@ -39,13 +40,17 @@ def users(spark: SparkSession, path: str) -> DataFrame:
     return delimited(spark, path, USERS)
 
 
+#: A year in brackets at the end of a title, and what a clean title leaves out.
+YEAR, YEAR_SUFFIX = r"\((\d{4})\)$", r"\s*\(\d{4}\)$"
+
+
 def title_year(title: Column) -> Column:
     """The four digits in closing brackets, null without any."""
-    return F.nullif(F.regexp_extract(title, r"\((\d{4})\)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(title, YEAR, 1), F.lit(""))
 
 
 def clean_title(title: Column) -> Column:
-    return F.regexp_replace(title, r"\s*\(\d{4}\)$", "")
+    return F.regexp_replace(title, YEAR_SUFFIX, "")
 
 
 def movies(spark: SparkSession, path: str) -> DataFrame:
