@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenrec.functions import vectors as V
 from lumenrec.operators import prep
+from lumenrec.sources.workspace import store
 
 
 def co_occurrence(train: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def item_cf(train: DataFrame, n: int = 100) -> DataFrame:
     catalogue, so only that stretch is generated.
     """
     scores = item_cf_scores(train)
-    top = prep.top_per_user(scores, "score", n)
+    top = store(prep.top_per_user(scores, "score", n).select("user_id", "item_id", "score", "rank"), "cf-top")  # read three times below
     seen = train.select("user_id", "item_id").distinct()
     per_user = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
     have = top.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_have"))

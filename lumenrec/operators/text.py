@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenrec.functions import strings as S
 from lumenrec.functions import vectors as V
 from lumenrec.operators import prep
+from lumenrec.sources.workspace import store
 
 
 def sentence_chunks(docs: DataFrame) -> DataFrame:
@@ -75,9 +77,10 @@ def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     Only postings of query words are joined; word statistics cover the corpus.
     """
     words = corpus.select("doc_id", F.explode(S.tokens(F.col("text"))).alias("w"))
-    tf = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = corpus.select("doc_id", F.size(S.tokens(F.col("text"))).alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    tf = store(words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("tf")), "postings")  # texts are split once
+    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    stats = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).join(corpus.agg(F.count(F.lit(1)).alias("n")))
+    stats = stats.select("n", F.try_divide("words", "n").alias("avgdl"))
     idf = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats)).select("w", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "avgdl")
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
     asked = queries.select("q", F.explode(S.tokens(F.col("text"))).alias("w")).groupBy("q", "w").agg(F.count(F.lit(1)).alias("qn"))
@@ -119,10 +122,17 @@ def hybrid(corpus: DataFrame, queries: DataFrame, doc_vectors: DataFrame, extra:
     return scored.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top_k)
 
 
-def hashed_vector(text: Column, dims: int = 64) -> Column:
-    """A bag-of-words vector by hashing, a stand-in where no encoder is at hand."""
-    slots = F.transform(S.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+def hashed_vectors(texts: Column, dims: int = 64) -> Column:
+    """A bag-of-words vector for each text of an array, a stand-in where no encoder is at hand."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(batch: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[float]:
+            return np.bincount(np.array([crc32(w.encode()) % dims for w in (t or "").lower().split()], np.int64), minlength=dims).astype(float).tolist()
+
+        return batch.map(lambda row: [one(t) for t in row])
+
+    return run(texts)
 
 
 # ---------------------------------------------------------------- faithfulness
@@ -208,8 +218,6 @@ TokenVectors = Callable[[list[str]], np.ndarray]
 
 def hashed_token_vectors(words: list[str], dims: int = 32) -> np.ndarray:
     """Deterministic unit vectors from character trigrams: related spellings are close."""
-    from zlib import crc32
-
     out = np.zeros((len(words), dims))
     for i, w in enumerate(words):
         padded = f"^{w}$"
@@ -251,8 +259,9 @@ def evaluate(records: DataFrame) -> DataFrame:
     """
     rows = records.withColumn("evidence", canonical_evidence(F.col("reference_evidence"), F.col("evidence_used")))
     scored = bertscore(rows.select("user_id", "movie_id", "condition", "explanation", "evidence"))
-    vec = scored.select("*", hashed_vector(F.col("explanation")).alias("vector"), F.transform("evidence", lambda e: hashed_vector(e)).alias("ev"))
-    cos = F.transform("ev", lambda e: V.dot(V.unit(F.col("vector")), V.unit(e)))
+    vec = scored.select("*", hashed_vectors(F.concat(F.array(F.coalesce("explanation", F.lit(""))), "evidence")).alias("v"))
+    vec = vec.withColumn("v", F.transform("v", lambda e: V.unit(e))).withColumn("ev", F.slice("v", 2, F.size("v")))
+    cos = F.transform("ev", lambda e: V.dot(F.col("v")[0], e))
     sem = F.aggregate(cos, F.lit(0.0), lambda s, x: s + x) / F.size(cos)
     return vec.select(
         "user_id", "movie_id", "condition", "explanation", F.round(overlap(F.col("explanation"), F.col("evidence")), 4).alias("evidence_overlap"),

@@ -45,13 +45,16 @@ def test_decay_weights(spark):
     assert one == pytest.approx([0, 1, 0])
 
 
-def test_top_inner_products_excludes_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_top_inner_products_excludes_and_blocks(spark, monkeypatch, limit):
     monkeypatch.setattr(V, "BLOCK", 2)
+    monkeypatch.setattr(V, "BROADCAST_LIMIT", limit)
     items = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(7)], "item_id bigint, vector array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "q bigint, vector array<double>")
     seen = spark.createDataFrame([(1, 6)], "q bigint, item_id bigint")
     got = {(r.q, r["rank"]): r.item_id for r in V.top_inner_products(asked, items, 2, seen).collect()}
     assert got == {(1, 1): 5, (1, 2): 4, (2, 1): 0, (2, 2): 1}
+    assert V.top_inner_products(asked, items.limit(0), 2, seen).count() == 0
 
 
 @pytest.mark.parametrize("k,want", [(3, (1, 0.919721, 1.0, 1.0)), (2, (1, 0.613147, 0.5, 1.0))])
@@ -127,4 +130,4 @@ def test_features(spark):
     assert e[1, 2].kg_emb_mean_dist == pytest.approx(math.sqrt(20)) and e[1, 2].kg_emb_max_cos == pytest.approx(0.6) and e[9, 2].kg_emb_max_cos == 0
     got = [r.c for r in spark.createDataFrame([("kg_recall_score",), ("cf_score",), ("popularity",)], "f string").select(features.category(F.col("f")).alias("c")).collect()]
     assert got == ["KG", "CF", "Content"]
-    assert features.resolve(features.FEATURE_SETS["V3"], ["cf_score", "kg_a", "kg_emb_x", "kg_recall_score"]) == ["cf_score", "kg_a"]
+    assert features.resolve(features.FEATURE_SETS["V3"], ["cf_score", "kg_a", "kg_emb_x", "kg_recall_score"]) == ["cf_score", "kg_recall_score", "kg_a"]
