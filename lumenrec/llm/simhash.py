@@ -200,9 +200,19 @@ def _variants(masks: list[tuple[int, int, int, int]]):
     )
 
 
+_ROWS_PER_TASK = 16_384
+
+
+def _spread(df: DataFrame, n: int) -> DataFrame:
+    """Rows over enough tasks for what is about to be emitted from each of them."""
+    return df.repartition(1 + n // _ROWS_PER_TASK, "fp")
+
+
 def links(distinct: DataFrame, radius: int = 4, parts: int = 2) -> DataFrame:
     """(a, b) edges whose components are those of all pairs within ``radius`` bits."""
     full = (1 << 64) - 1
+    n, joint = bit_statistics(distinct)
+    distinct = _spread(distinct, n)
     centres = [(0, full, 0)] + [(0, full, 1 << b) for b in range(64)]
     if radius >= 2:
         near = distinct.select("fp", _variants(centres).alias("k")).select("fp", F.col("k.key").alias("key"))
@@ -217,14 +227,13 @@ def links(distinct: DataFrame, radius: int = 4, parts: int = 2) -> DataFrame:
     else:
         near_edges = None
         labelled = distinct.select("fp", F.col("fp").alias("label"))
-    n, joint = bit_statistics(distinct)
     groups = group_bits(n, joint, parts)
     masks = []
     for k, (group, t) in enumerate(zip(groups, allocate(n, joint, groups, radius), strict=True)):
         inside = sum(1 << b for b in group)
         if t >= 0:
             masks += [(k * 128 + tag, inside & ~clear, flip) for tag, clear, flip in key_masks(group, t)]
-    probes = labelled.select("fp", "label", _variants(masks).alias("k")).select("fp", "label", "k.tag", "k.key")
+    probes = _spread(labelled, n).select("fp", "label", _variants(masks).alias("k")).select("fp", "label", "k.tag", "k.key")
     mixed = probes.groupBy("tag", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tag", "key")
     open_ = cut(probes.join(mixed, ["tag", "key"], "left_semi"), "open")
     left = open_.select("tag", "key", F.col("fp").alias("a"), F.col("label").alias("la"))
