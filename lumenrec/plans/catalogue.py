@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from lumenrec.operators import embed, explain, features, graph, prep, ranker, re
 from lumenrec.plans.sql import with_
 from lumenrec.sources import fixtures as X
 from lumenrec.sources import readers
-from lumenrec.sources.workspace import store, stored
+from lumenrec.sources.workspace import root, store, stored
+from lumenrec.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -362,6 +364,11 @@ def recall_source_breakdown(s, d):
     return recall.source_breakdown(_merged(s, d)).select("source", "n", r6("pct", "pct"), "n_items")
 
 
+@query(with_("merged", "SELECT user_id, item_id, CASE WHEN cf_score > 0 AND kg_score = 0 THEN 'cf_only' WHEN cf_score = 0 AND kg_score > 0 THEN 'kg_only' WHEN cf_score > 0 AND kg_score > 0 THEN 'both' ELSE 'none' END AS kind FROM merged"))
+def source_by_score_sign(s, d):
+    return _merged(s, d).select("user_id", "item_id", features.source_of(F.col("cf_score"), F.col("kg_score")).alias("kind"))
+
+
 @query(with_("merged", "SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT user_id, count(*) AS n FROM merged GROUP BY 1)"))
 def candidates_per_user(s, d):
     by = _merged(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -851,3 +858,14 @@ def generate_explanations(s, d):
     prompt = F.when(F.col("p_partkey") % 4 == 0, explain.plain_prompt(titles, F.col("p_name"), genres)).otherwise(explain.rag_prompt(titles, F.col("p_name"), evidence))
     asked = p.select("p_partkey", F.lit(explain.RAG_SYSTEM).alias("system"), prompt.alias("prompt"))
     return explain.generate(asked, explain.TemplateBackend()).select("p_partkey", "explanation")
+
+
+@query("SELECT p_partkey AS user_id, p_size AS movie_id FROM part")
+def streaming_resume(s, d):
+    """Two runs of the resumable stream over the same requests: each pair is answered once."""
+    base = f"{root(s)}/stream-{uuid.uuid4().hex}"
+    p = readers.parquet(s, d, "part").select(F.col("p_partkey").alias("user_id"), F.col("p_size").alias("movie_id"), F.lit(explain.RAG_SYSTEM).alias("system"), F.col("p_name").alias("prompt"))
+    for part in ("user_id % 2 = 0", "true"):
+        p.filter(part).write.mode("append").parquet(f"{base}/requests")
+        resume.run(s, f"{base}/requests", p.schema, f"{base}/results", f"{base}/checkpoint", explain.TemplateBackend()).awaitTermination()
+    return s.read.parquet(f"{base}/results").select("user_id", "movie_id")

@@ -10,9 +10,12 @@ from lumenrec.sources.readers import parquet
 from lumenrec.sources.workspace import stored
 
 
-def interactions_raw(spark: SparkSession, d: str) -> DataFrame:
+def interactions_raw(spark: SparkSession, d: str, over: float | None = None) -> DataFrame:
+    """Every order line; ``over`` keeps quantities above it, a filter that reaches the scan."""
     orders = parquet(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = parquet(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    if over is not None:
+        lines = lines.filter(F.col("l_quantity") > over)
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"),
         F.ceil(F.col("l_quantity") / 10).cast("int").alias("rating"), F.col("o_orderdate").alias("ts"),
@@ -21,7 +24,7 @@ def interactions_raw(spark: SparkSession, d: str) -> DataFrame:
 
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     """Positive interactions, one row per pair with its first time."""
-    liked = prep.positive(interactions_raw(spark, d), 4)
+    liked = prep.positive(interactions_raw(spark, d, over=30.0), 4)  # ceil(quantity / 10) >= 4 is quantity > 30
     return liked.groupBy("user_id", "item_id").agg(F.min("ts").alias("ts"))
 
 
