@@ -24,7 +24,7 @@ CHUNK_CAST, CHUNK_CAST_DIRECTOR, CHUNK_DIRECTOR = "%s stars %s.", "%s stars %s,
 
 def tokens(text: Column) -> Column:
     """Lower-case words between white space; none for blank text."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def sentences(text: Column, short: int = 20) -> Column:
