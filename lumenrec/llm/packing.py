@@ -8,8 +8,10 @@
 3. In a group: best-fit decreasing, then swap-based local search.  Underfull
    bins exchange one piece for one, one for two, or move one, always such that
    the sum of squared fills grows, so that the emptiest bins drain and vanish.
-   The search ends at a pass without gain, or after ``passes`` passes (a time
-   bound only: every piece stays packed).
+   A pass has up to 64 donors, the emptiest bins first; after a pass without
+   gain the next ones are donors.  The search ends when all underfull bins were
+   donors without gain, when no packing can have fewer bins, or after ``passes``
+   passes with gain (a time bound only: every piece stays packed).
 
 More groups cost less than one extra sequence each.
 
@@ -165,33 +167,43 @@ class Search:
                             lo += 1
         return best[1]
 
+    def _pass(self, under: list[int]) -> bool:
+        """Every other underfull bin takes from the donors; True if anything was gained."""
+        gain = False
+        index = self._donor_index(self.donors)
+        donor_set = set(self.donors)
+        for taker in reversed(under):
+            while taker not in donor_set and self.fill[taker] < self.size and (found := self._best(index, taker, 0)):
+                self._apply(index, taker, *found)
+                gain = True
+        # The drained donors' pieces: best fit anew among themselves, unless that needs more bins than they have.
+        kept = [d for d in self.donors if self.bins[d]]
+        loose = [i for d in kept for i in self.bins[d]]
+        again = best_fit(np.array([self.length[i] for i in loose], np.int64), self.size)
+        if len(again) < len(kept):
+            gain = True
+        if len(again) <= len(kept):
+            for d in kept:
+                self.bins[d], self.fill[d] = [], 0
+            for d, b in zip(kept, again, strict=False):
+                self.bins[d] = [loose[k] for k in b]
+                self.fill[d] = sum(self.length[i] for i in self.bins[d])
+        return gain
+
     def run(self, passes: int) -> list[list[int]]:
-        for _ in range(passes):
+        least = -(-sum(self.length) // self.size)
+        at = 0
+        while passes > 0 and sum(map(bool, self.bins)) > least:
             under = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.size), key=lambda b: self.fill[b])
-            if len(under) < 2:
-                break
-            gain = False
-            self.donors = under[: max(1, len(under) // 4)][:64]
-            index = self._donor_index(self.donors)
-            donor_set = set(self.donors)
-            for taker in reversed(under):
-                while taker not in donor_set and self.fill[taker] < self.size and (found := self._best(index, taker, 0)):
-                    self._apply(index, taker, *found)
-                    gain = True
-            self.donors = [d for d in self.donors if self.bins[d]]
-            # The drained donors' pieces: first fit them anew among themselves.
-            loose = [i for d in self.donors for i in self.bins[d]]
-            if loose:
-                again = best_fit(np.array([self.length[i] for i in loose]), self.size)
-                if len(again) < len(self.donors):
-                    gain = True
-                for d in self.donors:
-                    self.bins[d], self.fill[d] = [], 0
-                for d, b in zip(self.donors, again, strict=False):
-                    self.bins[d] = [loose[k] for k in b]
-                    self.fill[d] = sum(self.length[i] for i in self.bins[d])
-            if not gain:
-                break
+            if at >= len(under):
+                break  # every underfull bin was a donor since the last gain
+            width = max(1, min(64, len(under) // 4))
+            self.donors = under[at : at + width]
+            if self._pass(under):
+                at = 0
+                passes -= 1
+            else:
+                at += width
         return [b for b in self.bins if b]
 
 
@@ -206,6 +218,8 @@ def pack(lengths: np.ndarray, size: int = SIZE, passes: int = 60) -> tuple[np.nd
         for i in b:
             number[i], offset[i] = k, at
             at += int(lengths[i])
+    if sum(map(len, bins)) != len(lengths):
+        raise RuntimeError(f"{sum(map(len, bins))} of {len(lengths)} pieces were placed")
     return number, offset
 
 

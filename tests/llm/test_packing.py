@@ -36,6 +36,25 @@ def test_search_only_raises_squares():
     assert len(after) <= len(bins) and sum(int(x[b].sum()) ** 2 for b in after) >= before
 
 
+def test_repacking_loses_no_piece():
+    """Best fit would need three bins for the pieces of the two donors."""
+    x = np.array([400, 300, 300, 400, 300, 300] + [1010] * 6)
+    bins = [[0, 1, 2], [3, 4, 5], *[[6 + k] for k in range(6)]]
+    after = packing.Search(x, bins, 1024).run(60)
+    assert sorted(i for b in after for i in b) == list(range(12))
+    assert all(x[b].sum() <= 1024 for b in after)
+
+
+def test_every_underfull_bin_becomes_a_donor():
+    """The three emptiest bins have nothing to give; the next ones do."""
+    x = np.array([600] * 3 + [505, 496] + [500, 510] + [504, 507] + [1012] * 6)
+    bins = [[0], [1], [2], [3, 4], [5, 6], [7, 8], *[[9 + k] for k in range(6)]]
+    before = sum(int(x[b].sum()) ** 2 for b in bins)
+    after = packing.Search(x, bins, 1024).run(60)
+    assert sorted(i for b in after for i in b) == list(range(15))
+    assert sum(int(x[b].sum()) ** 2 for b in after) > before
+
+
 @pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 2048, 5000])
 def test_cuts(n):
     cuts = packing.cut_points(n, 1024)
