@@ -36,6 +36,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -244,26 +245,40 @@ def links(distinct: DataFrame, radius: int = 4, parts: int = 2) -> DataFrame:
     return own.union(pairs) if near_edges is not None else pairs
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, parts: int = 2) -> DataFrame:
-    """A row per document: id, fp (bigint bits), component_id."""
+def _near_labels(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) per document, and (fp, label, component_id) per fingerprint; a label is a fingerprint of the component."""
     rows = cut(fingerprints(docs, id_col, text_col, width), "fingerprints")
     per_fp = cut(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     labels = components(links(per_fp.select("fp"), radius, parts))
     rooted = per_fp.join(labels, per_fp.fp == labels.v, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     low = rooted.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_fp = cut(rooted.join(low, "label").select("fp", "component_id"), "classes")
+    return rows, cut(rooted.join(low, "label").select("fp", "label", "component_id"), "classes")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, parts: int = 2) -> DataFrame:
+    """A row per document: id, fp (bigint bits), component_id."""
+    rows, by_fp = _near_labels(docs, id_col, text_col, width, radius, parts)
     return rows.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays: the one with the smallest id, all columns.
 
-    Rows that repeat that id with a text of the same component are reduced to one.
+    Rows that repeat that id, null or not, with a text of the same component are
+    reduced to one.  Rows of other components with that id do not count: where
+    ids repeat, rows are told apart by id and fingerprint.
     """
-    groups = near_groups(docs, id_col, text_col)
-    lowest = cut(
-        groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n")), "stay"
-    )
-    stay = lowest.select(F.col("id").alias("__stay_id"))
-    out = docs.join(stay, docs[quoted(id_col)].eqNullSafe(F.col("__stay_id")), "left_semi")
-    return out if lowest.filter("n > 1").isEmpty() else out.dropDuplicates([id_col])
+    rows, by_fp = _near_labels(docs, id_col, text_col, 4, 4, 2)
+    lowest = rows.join(by_fp, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    stay = cut(lowest.groupBy("label", "id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "stay")
+    kept = stay.select(F.col("id").alias("__stay_id"), F.col("fp").alias("__stay_fp"))
+    if rows.groupBy("id").count().filter("count > 1").isEmpty():
+        return docs.join(kept, docs[quoted(id_col)].eqNullSafe(F.col("__stay_id")), "left_semi")
+
+    @F.pandas_udf("bigint")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    marked = docs.withColumn("__fp", fp(text_or_empty(quoted(text_col))))
+    out = marked.join(kept, marked[quoted(id_col)].eqNullSafe(F.col("__stay_id")) & (F.col("__fp") == F.col("__stay_fp")), "left_semi")
+    return (out if stay.filter("n > 1").isEmpty() else out.dropDuplicates([id_col, "__fp"])).drop("__fp")

@@ -92,6 +92,19 @@ def test_documents_and_edge_cases(spark):
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
 
 
+def test_repeated_ids_lose_no_component(spark):
+    """Null ids and one id on unrelated texts: a row of each component stays, and no near copy by its id."""
+    r = random.Random(3)
+    a, b, c, d = ([f"{r.getrandbits(40):x}" for _ in range(300)] for _ in range(4))
+    copy = [*d[:150], "changed", *d[151:]]
+    assert 0 < (brute_fp(" ".join(d)) ^ brute_fp(" ".join(copy))).bit_count() <= 4
+    rows = [(None, a, 1), (None, b, 2), (None, b, 2), (7, c, 3), (7, copy, 4), (3, d, 5), (None, d, 6)]
+    docs = spark.createDataFrame([(i, " ".join(t), n) for i, t, n in rows], "doc_id bigint, text string, n int")
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(k.doc_id), k.n) for k in kept.collect()) == [("3", 5), ("7", 3), ("None", 1), ("None", 2)]
+
+
 def test_thresholds_add_up():
     joint = np.diag(np.full(64, 50.0)) + 25
     for parts in (1, 2, 3, 5):
