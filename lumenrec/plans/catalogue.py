@@ -664,7 +664,7 @@ def _records(s, d):
     """A record per conversation: its turns as evidence, assistant turns as reference where the conversation id is even."""
     c = readers.parquet(s, d, "conversations")
     item = F.struct(
-        F.when(F.col("turn") % 3 > 0, 100 - F.col("turn")).alias("doc_id"), F.col("turn").alias("movie_id"), F.substring("text", 1, 40).alias("text"), F.col("role").alias("source"),
+        F.when(F.col("turn") % 3 > 0, 100 - F.col("turn")).alias("doc_id"), F.col("turn").alias("movie_id"), "text", F.col("role").alias("source"),
         F.lit(0.0).alias("dense_score"), F.lit(0.0).alias("bm25_score"), (F.pmod(F.col("turn") * 7 + F.col("conv_id"), F.lit(11)) / 10.0).alias("score"),
     )
     rows = c.withColumn("item", item).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "item"))).alias("x"), F.max("turn").alias("last"))
@@ -746,7 +746,7 @@ def perturb_e3(s, d):
 
 @query()
 def perturb_e4(s, d):
-    docs = readers.parquet(s, d, "documents").select("doc_id", F.col("doc_id").alias("movie_id"), F.substring("text", 1, 80).alias("text"), "source")
+    docs = readers.parquet(s, d, "documents").select("doc_id", F.col("doc_id").alias("movie_id"), "text", "source")
     out = explain.perturb(_records(s, d), "E4", "retrieval_only", docs)
     return out.select("user_id", "movie_id", F.transform("evidence_used", lambda e: e["doc_id"]).alias("doc_ids"))
 

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenrec.functions import stats
 from lumenrec.functions import strings as S
 from lumenrec.operators import explain, text
+from lumenrec.plans import catalogue
 from lumenrec.sources import sinks
 from lumenrec.streaming import resume
 
@@ -196,3 +199,15 @@ def test_bertscore(spark):
     out = {r.movie_id: r for r in text.evaluate(df).collect()}
     assert (out[2].evidence_overlap, out[2].rouge_l, out[2].semantic_sim, out[2].bert_score_f1) == (1.0, 1.0, 1.0, 1.0) and out[3].rouge_l == 0
     assert text.summarise(text.evaluate(df)).first().rouge_l == 0.5
+
+
+def test_evidence_is_whole_text(spark):
+    """No registered query cuts the turns or documents it takes as evidence."""
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    want = {r.conv_id: r.t for r in spark.read.parquet(f"{data}/conversations.parquet").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda e: e["text"]), "|").alias("t")).collect()}
+    got = {r.user_id: r.retrieval_only for r in catalogue.evidence_bundle(spark, data).collect()}
+    assert got == want
+    texts = {r.text.strip() for r in spark.read.parquet(f"{data}/conversations.parquet").filter("text IS NOT NULL").collect()}
+    assert all(e in texts or e == "" for r in catalogue.canonical_evidence(spark, data).collect() for e in r.evidence)
