@@ -1,17 +1,16 @@
 """Best-fit packing of documents into fixed-length sequences.
 
 1. Tokenise: a document is its ids plus the end id.  Documents over ``size`` are
-   cut into pieces of exactly ``size``, the first piece taking the rest.
-2. Pieces are dealt by hash into groups of at most about ``group_rows``; each
-   group is packed in one bounded task.  Only places and lengths travel, never
-   tokens.  Full pieces are sequences of their own.
+   cut into pieces of exactly ``size``, the first piece taking the rest.  Places
+   and lengths are written to the shared folder, tokens never travel.
+2. Full pieces are sequences of their own.  The others are dealt into groups of
+   about ``group_rows`` by a hash of their stored row number, so rows that repeat
+   spread too; each group is packed in one bounded task.
 3. In a group: best-fit decreasing, then swap-based local search.  Underfull
-   bins exchange one piece for one, one for two, or move one, always such that
-   the sum of squared fills grows, so that the emptiest bins drain and vanish.
-   A pass has up to 64 donors, the emptiest bins first; after a pass without
-   gain the next ones are donors.  The search ends when all underfull bins were
-   donors without gain, when no packing can have fewer bins, or after ``passes``
-   passes with gain (a time bound only: every piece stays packed).
+   bins exchange one piece for one, one for two, two for one, or move one or two,
+   always such that the sum of squared fills grows, so that the emptiest bins
+   drain and vanish.  The search ends when no exchange of any two underfull bins
+   gains, or when no packing can have fewer bins.
 
 More groups cost less than one extra sequence each.
 
@@ -21,18 +20,19 @@ packed each; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import quoted, text_or_empty
+from .common import cut, quoted, text_or_empty
 
 SIZE, END_ID = 1024, 2
 
@@ -46,11 +46,12 @@ def cut_points(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32), a row per piece."""
+    """(id, piece, start, length, ids_crc32, row), a row per piece; ``row`` numbers the pieces of all partitions."""
     rows = docs.select(F.col(quoted(id_col)).alias("id"), text_or_empty(quoted(text_col)).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(batch.column(1)):
@@ -62,11 +63,13 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, id_col: str
                     length.append(n)
                     crc.append(crc32(ids[s : s + n].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["id", "piece", "start", "length", "ids_crc32"],
-            )
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                 pa.array(crc, pa.int64()), pa.array(np.arange(row, row + len(at)))],
+                names=["id", "piece", "start", "length", "ids_crc32", "row"],
+            )
+            row += len(at)
 
-    return rows.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint")
 
 
 # ---------------------------------------------------------------- one group
@@ -96,130 +99,157 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
 
 
 class Search:
-    """Swap-based local search over underfull bins."""
+    """Swap-based local search over the underfull bins of a group.
+
+    A taker gives nothing, one piece or two pieces and takes one or two pieces of
+    one donor, such that its fill grows by at most its gap.  Donors are all
+    underfull bins that the taker's new fill exceeds, so the sum of squared fills
+    grows with every exchange and the search ends by itself.  Lengths are bits of
+    an integer: ``one`` holds the lengths of donors' pieces, ``two`` the sums of
+    two pieces of one donor, so the best exchange is a shift and a mask for each
+    length that the taker could give.  No exchange is left out.
+    """
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], size: int):
         self.length = lengths.tolist()
         self.size = size
         self.bins = bins
         self.fill = [sum(self.length[i] for i in b) for b in bins]
-
-    def _donor_index(self, donors: list[int]) -> list[tuple[int, int, int]]:
-        """(length, item, bin) of the pieces in the donors, sorted."""
-        return sorted((self.length[i], i, d) for d in donors for i in self.bins[d])
-
-    def _apply(self, index, taker: int, donor: int, give: list[int], take: list[int]) -> None:
-        """``take`` goes from donor to taker, ``give`` the other way; the index follows."""
-        for i in take:
-            self.bins[donor].remove(i)
-            del index[bisect_left(index, (self.length[i], i, donor))]
-        for i in give:
-            self.bins[taker].remove(i)
-            self.bins[donor].append(i)
-            insort(index, (self.length[i], i, donor))
-        self.bins[taker] += take
-        moved = sum(self.length[i] for i in take) - sum(self.length[i] for i in give)
-        self.fill[taker] += moved
-        self.fill[donor] -= moved
-
-    def _best(self, index, taker: int, floor: int):
-        """The best exchange that raises the taker by at most its gap, or None.
-
-        Only pieces of donors no fuller than the taker are in play, so any rise
-        increases the sum of squared fills.
-        """
+        self.count = sum(map(bool, bins))
+
+    def _sums(self, b: int) -> tuple[int, int]:
+        """Bits of the bin's lengths and of its sums of two pieces."""
+        one = two = 0
+        for i in self.bins[b]:
+            n = self.length[i]
+            two |= one << n
+            one |= 1 << n
+        return one, two
+
+    def _enter(self, b: int) -> None:
+        """Offers the bin's lengths and sums as a donor's."""
+        self.version[b] = self.version.get(b, 0) + 1
+        tag = (self.fill[b], b, self.version[b])
+        for kind, bits in enumerate(self._sums(b)):
+            self.open[kind] |= bits
+            while bits:
+                low = bits & -bits
+                heappush(self.where[kind].setdefault(low.bit_length() - 1, []), tag)
+                bits ^= low
+
+    def _donor(self, kind: int, n: int, taker: int, limit: int) -> int | None:
+        """The emptiest donor with a piece (a sum) of ``n`` whose fill is below ``limit``; stale entries go."""
+        heap = self.where[kind].get(n, [])
+        aside = []
+        found = None
+        while heap:
+            fill, b, version = heap[0]
+            if self.version.get(b) != version:
+                heappop(heap)
+            elif fill >= limit:
+                break
+            elif b == taker:
+                aside.append(heappop(heap))
+            else:
+                found = b
+                break
+        for tag in aside:
+            heappush(heap, tag)
+        if not heap:
+            self.open[kind] &= ~(1 << n)
+        return found
+
+    def _give(self, taker: int) -> list[tuple[int, int]]:
+        """(kind, sum) of what the taker could give: nothing, a piece, two pieces."""
+        one, two = self._sums(taker)
+        out = [(0, 0)]
+        for kind, bits in ((1, one), (2, two)):
+            while bits:
+                low = bits & -bits
+                out.append((kind, low.bit_length() - 1))
+                bits ^= low
+        return out
+
+    def _best(self, taker: int) -> tuple[int, int, int, int, int] | None:
+        """(gain, give kind, give sum, take kind, donor and sum) of the best exchange."""
         gap = self.size - self.fill[taker]
-        best = (0, None)
-
-        def offer(gain: int, donor: int, give: list[int], take: list[int]):
-            nonlocal best
-            if gain > best[0] and donor != taker and self.fill[donor] < self.fill[taker] + gain:
-                best = (gain, (donor, give, take))
-
-        def largest(limit: int, barred: int | None = None):
-            k = bisect_left(index, (limit + 1, -1, -1)) - 1
-            while k >= 0 and index[k][2] == taker or (k >= 0 and index[k][1] == barred):
-                k -= 1
-            return index[k] if k >= 0 else None
-
-        if hit := largest(gap):  # move
-            offer(hit[0], hit[2], [], [hit[1]])
-        for i in sorted(set(self.bins[taker]), key=lambda i: self.length[i])[:48]:
-            if best[0] == gap:
+        best, chosen = 0, None
+        for given, own in self._give(taker):
+            for kind in (0, 1) if given < 2 else (0,):  # two for two is not a move of this search
+                reach = self.open[kind] & ((1 << own + gap + 1) - 1)
+                while (n := reach.bit_length() - 1) - own > best:
+                    donor = self._donor(kind, n, taker, self.fill[taker] + n - own)
+                    if donor is not None:
+                        best, chosen = n - own, (given, own, kind, n, donor)
+                        break
+                    reach &= ~(1 << n)
+            if best == gap:
                 break
-            own = self.length[i]
-            if hit := largest(own + gap):  # one for one
-                offer(hit[0] - own, hit[2], [i], [hit[1]])
-        if best[0] < gap:  # two of one donor for one
-            for donor in self.donors[:24]:
-                if donor == taker or best[0] == gap:
-                    continue
-                items = sorted((self.length[i], i) for i in self.bins[donor])
-                for i in self.bins[taker][:16]:
-                    limit = self.length[i] + gap
-                    lo, hi = 0, len(items) - 1
-                    while lo < hi:  # two pointers: the largest sum within the limit
-                        total = items[lo][0] + items[hi][0]
-                        if total > limit:
-                            hi -= 1
-                        else:
-                            offer(total - self.length[i], donor, [i], [items[lo][1], items[hi][1]])
-                            lo += 1
-        return best[1]
-
-    def _pass(self, under: list[int]) -> bool:
-        """Every other underfull bin takes from the donors; True if anything was gained."""
-        gain = False
-        index = self._donor_index(self.donors)
-        donor_set = set(self.donors)
-        for taker in reversed(under):
-            while taker not in donor_set and self.fill[taker] < self.size and (found := self._best(index, taker, 0)):
-                self._apply(index, taker, *found)
-                gain = True
-        # The drained donors' pieces: best fit anew among themselves, unless that needs more bins than they have.
-        kept = [d for d in self.donors if self.bins[d]]
-        loose = [i for d in kept for i in self.bins[d]]
-        again = best_fit(np.array([self.length[i] for i in loose], np.int64), self.size)
-        if len(again) < len(kept):
-            gain = True
-        if len(again) <= len(kept):
-            for d in kept:
-                self.bins[d], self.fill[d] = [], 0
-            for d, b in zip(kept, again, strict=False):
-                self.bins[d] = [loose[k] for k in b]
-                self.fill[d] = sum(self.length[i] for i in self.bins[d])
-        return gain
-
-    def run(self, passes: int) -> list[list[int]]:
+        return chosen
+
+    def _pick(self, b: int, kind: int, total: int) -> list[int]:
+        """A piece (kind 0), or two, of the bin with that total length."""
+        if kind == 0:
+            return [next(i for i in self.bins[b] if self.length[i] == total)]
+        seen: dict[int, int] = {}
+        for i in self.bins[b]:
+            if (other := seen.get(total - self.length[i])) is not None:
+                return [other, i]
+            seen[self.length[i]] = i
+        raise AssertionError("no two pieces of that sum")
+
+    def _exchange(self, taker: int, given: int, own: int, kind: int, n: int, donor: int) -> None:
+        give = self._pick(taker, given - 1, own) if given else []
+        take = self._pick(donor, kind, n)
+        for b, out, into in ((taker, give, take), (donor, take, give)):
+            for i in out:
+                self.bins[b].remove(i)
+            self.bins[b] += into
+        self.fill[taker] += n - own
+        self.fill[donor] -= n - own
+        if not self.bins[donor]:
+            self.count -= 1
+            self.version[donor] += 1
+        else:
+            self._enter(donor)
+        if self.fill[taker] < self.size:
+            self._enter(taker)
+        else:
+            self.version[taker] += 1
+
+    def run(self) -> list[list[int]]:
         least = -(-sum(self.length) // self.size)
-        at = 0
-        while passes > 0 and sum(map(bool, self.bins)) > least:
+        gained = True
+        while gained and self.count > least:
+            gained = False
+            self.open, self.where, self.version = [0, 0], ({}, {}), {}
             under = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.size), key=lambda b: self.fill[b])
-            if at >= len(under):
-                break  # every underfull bin was a donor since the last gain
-            width = max(1, min(64, len(under) // 4))
-            self.donors = under[at : at + width]
-            if self._pass(under):
-                at = 0
-                passes -= 1
-            else:
-                at += width
+            for b in under:
+                self._enter(b)
+            for taker in reversed(under):
+                while self.bins[taker] and self.fill[taker] < self.size and (found := self._best(taker)):
+                    self._exchange(taker, *found)
+                    gained = True
         return [b for b in self.bins if b]
 
 
-def pack(lengths: np.ndarray, size: int = SIZE, passes: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def pack(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(bin number, offset) of each piece."""
     bins = best_fit(lengths, size)
     if len(bins) > -(-int(lengths.sum()) // size):
-        bins = Search(lengths, bins, size).run(passes)
-    number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        bins = Search(lengths, bins, size).run()
+    number, offset = np.full(len(lengths), -1, np.int64), np.zeros(len(lengths), np.int64)
     for k, b in enumerate(bins):
         at = 0
         for i in b:
+            if number[i] >= 0:
+                raise RuntimeError(f"piece {i} was placed twice")
             number[i], offset[i] = k, at
             at += int(lengths[i])
-    if sum(map(len, bins)) != len(lengths):
-        raise RuntimeError(f"{sum(map(len, bins))} of {len(lengths)} pieces were placed")
+        if at > size:
+            raise RuntimeError(f"a sequence of {at} tokens")
+    if (number < 0).any():
+        raise RuntimeError(f"{int((number < 0).sum())} pieces were not placed")
     return number, offset
 
 
@@ -229,23 +259,20 @@ def pack(lengths: np.ndarray, size: int = SIZE, passes: int = 60) -> tuple[np.nd
 def pack_documents(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, group_rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece.
 
-    A token has one byte at least, so rows + bytes / size bounds the number of
-    pieces, and with it the rows of a group.
+    Row numbers are fixed by the stored table, so a lost task deals alike again.
     """
-    length = F.octet_length(text_or_empty(quoted(text_col)))
-    n, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
-    groups = max(1, -(-(n + n_bytes // size) // group_rows))
-    rows = pieces(docs, size, end_id, id_col, text_col)
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("id", "piece", "start", "length", "ids_crc32"), F.lit(groups)))
+    rows = cut(pieces(docs, size, end_id, id_col, text_col), "pieces")
+    kept = ["id", "piece", "start", "length", "ids_crc32"]
+    full = rows.filter(F.col("length") == size).select(*kept, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    partial = rows.filter(F.col("length") < size)
+    groups = max(1, -(-partial.count() // group_rows))
+    dealt = partial.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        lengths = pdf["length"].to_numpy()
-        full = int((lengths >= size).sum())  # sequences of their own
-        number, offset = pack(lengths[full:], size)
-        pdf["sequence_id"] = (pdf["g"].to_numpy() << 32) + np.concatenate([np.arange(full), number + full])
-        pdf["offset"] = np.concatenate([np.zeros(full, np.int64), offset])
+        pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        number, offset = pack(pdf["length"].to_numpy(), size)
+        pdf["sequence_id"] = (pdf["g"].to_numpy() << 32) + number
+        pdf["offset"] = offset
         return pdf.drop(columns="g")
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("g").applyInPandas(run, schema)
+    return full.unionByName(dealt.groupBy("g").applyInPandas(run, full.schema))

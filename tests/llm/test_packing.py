@@ -1,3 +1,5 @@
+from collections import Counter
+from itertools import combinations, permutations
 from zlib import crc32
 
 import numpy as np
@@ -27,32 +29,61 @@ def test_search_beats_best_fit():
     assert packing.pack(x)[0].max() + 1 < len(packing.best_fit(x, 1024))
 
 
+def valid(x, bins, size=1024):
+    assert sorted(i for b in bins for i in b) == list(range(len(x)))
+    assert all(x[b].sum() <= size for b in bins)
+
+
 def test_search_only_raises_squares():
     x = np.random.default_rng(2).integers(180, 400, 600)
     bins = packing.best_fit(x, 1024)
     before = sum(int(x[b].sum()) ** 2 for b in bins)
-    after = packing.Search(x, [list(b) for b in bins], 1024).run(60)
-    assert sorted(i for b in after for i in b) == list(range(600))
+    after = packing.Search(x, [list(b) for b in bins], 1024).run()
+    valid(x, after)
     assert len(after) <= len(bins) and sum(int(x[b].sum()) ** 2 for b in after) >= before
 
 
 def test_repacking_loses_no_piece():
-    """Best fit would need three bins for the pieces of the two donors."""
-    x = np.array([400, 300, 300, 400, 300, 300] + [1010] * 6)
-    bins = [[0, 1, 2], [3, 4, 5], *[[6 + k] for k in range(6)]]
-    after = packing.Search(x, bins, 1024).run(60)
-    assert sorted(i for b in after for i in b) == list(range(12))
-    assert all(x[b].sum() <= 1024 for b in after)
-
-
-def test_every_underfull_bin_becomes_a_donor():
-    """The three emptiest bins have nothing to give; the next ones do."""
-    x = np.array([600] * 3 + [505, 496] + [500, 510] + [504, 507] + [1012] * 6)
-    bins = [[0], [1], [2], [3, 4], [5, 6], [7, 8], *[[9 + k] for k in range(6)]]
-    before = sum(int(x[b].sum()) ** 2 for b in bins)
-    after = packing.Search(x, bins, 1024).run(60)
-    assert sorted(i for b in after for i in b) == list(range(15))
-    assert sum(int(x[b].sum()) ** 2 for b in after) > before
+    """Lengths near thirds and halves of a sequence, where exchanges are many."""
+    near = [168, 171, 254, 255, 256, 290, 293, 294, 341, 342, 343, 436, 439, 440, 510, 511, 512, 513, 514]
+    found = [343, 512, 290, 293, 512, 436, 171, 291, 510, 514, 293, 169, 168, 439, 256, 343, 255, 339, 437, 255, 294, 343, 514, 514, 341, 254, 511, 256, 169, 342, 293, 510, 168, 341, 293, 511, 440]
+    packing.pack(np.array(found))  # raises if a piece is lost, placed twice or beyond the size
+    r = np.random.default_rng(5)
+    for k in range(1500):
+        n = int(r.integers(2, 200))
+        x = np.clip(r.lognormal(5.6, 0.9, n), 1, 1023).astype(np.int64) if k % 2 else r.choice(near, n)
+        packing.pack(x)
+    for n in (800, 2000):
+        for _ in range(20):
+            packing.pack(np.clip(r.lognormal(5.6, 0.9, n), 1, 1023).astype(np.int64))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=2, max_size=40), st.randoms(use_true_random=False))
+def test_no_gaining_exchange_is_left(lengths, rnd):
+    """From any start: every pair of underfull bins is tried by brute force after the search."""
+    size, x, bins = 40, np.array(lengths), []
+    for i in range(len(x)):
+        fits = [b for b in bins if x[b].sum() + x[i] <= size]
+        if fits and rnd.random() < 0.7:
+            rnd.choice(fits).append(i)
+        else:
+            bins.append([i])
+    after = packing.Search(x, bins, size).run()
+    valid(x, after, size)
+    if len(after) == -(-int(x.sum()) // size):
+        return
+    sums = [sorted({0, *x[b].tolist(), *[int(x[i] + x[j]) for i, j in combinations(b, 2)]}) for b in after]
+    single = [set(x[b].tolist()) for b in after]
+    for t, d in permutations(range(len(after)), 2):
+        ft, fd = int(x[after[t]].sum()), int(x[after[d]].sum())
+        if ft == size or fd == size:
+            continue
+        for give in sums[t]:
+            for take in sums[d][1:]:
+                gain = take - give
+                swap = give in single[t] or give == 0 or take in single[d]
+                assert not (swap and 0 < gain <= size - ft and fd < ft + gain)
 
 
 @pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 2048, 5000])
@@ -85,4 +116,7 @@ def test_table(spark):
         assert r.offset == fill.get(r.sequence_id, 0)
         fill[r.sequence_id] = r.offset + r.length
     assert max(fill.values()) <= 1024
+    same = packing.pack_documents(spark.createDataFrame([(None, "", 1)] * 4000, d.schema).repartition(3), group_rows=100).collect()
+    groups = Counter(r.sequence_id >> 32 for r in same)
+    assert len(same) == 4000 and len(groups) == 40 and max(groups.values()) <= 150
     assert packing.pack_documents(spark.createDataFrame([], d.schema)).count() == 0

@@ -51,7 +51,12 @@ def test_op1(spark, docs):
             assert (r.piece, r.start, r.ids_crc32) == (k, at, zlib.crc32(ids[at : at + r.length].tobytes()))
             at += r.length
         assert at == len(ids)
-    assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 1024) * 1.05 + 1
+    fill = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)  # gapless, nothing overlaps
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 1024 and sum(fill.values()) == sum(r.length for r in got)
+    assert len(fill) <= -(-sum(fill.values()) // 1024) + 1  # the sum of lengths allows one less at best
 
 
 def test_op2(spark, docs):
