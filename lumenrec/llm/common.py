@@ -15,13 +15,15 @@ _OWN_ROOT: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    all runs in one process (tests) a temporary folder stands in.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
     if named:
         return f"{named.rstrip('/')}/lumenrec-{app}"
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="lumenrec-")
     return _OWN_ROOT[app]
@@ -59,6 +61,44 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return table(df, name)[0]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_keys(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """(rows, column that tells them apart).
+
+    The identifier, where it is never null and never repeats.  Otherwise the rows
+    are stored with a number each, which later plans then read alike.
+    """
+    ids = docs.groupBy(F.col(quoted(id_col)).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("n > 1 OR i IS NULL").isEmpty():
+        return docs, id_col
+    key = fresh(docs, "row_number")
+    return cut(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
+#: Keys (8 bytes or so each) of dropped rows that may be broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 2_000_000
+
+
+def without(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not in the stored one-column table ``dropped``.
+
+    A list of up to BROADCAST_KEYS keys (counted) goes to the rows, so texts do
+    not move; beyond that both sides are shuffled by key.
+    """
+    (name,) = dropped.columns
+    gone = dropped.select(F.col(quoted(name)).alias(fresh(docs, "gone")))
+    if dropped.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[quoted(key)] == gone[gone.columns[0]], "left_anti")
+
+
 def text_or_empty(column: str | Column) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("string"), F.lit(""))

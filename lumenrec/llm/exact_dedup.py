@@ -5,7 +5,8 @@ digest with the smallest identifier and a row count.  Runs then meet in
 binomial rounds: in each round ``fan_in`` neighbouring runs exchange their rows
 by digest, are sorted, and merge to one run that keeps the smallest identifier.
 After ceil(log_fan_in(runs)) rounds one run is left, spread over the cluster by
-digest.  The decisions go back down the same tree.
+digest.  Every level-0 run then takes its digests' verdict from the last one:
+a digest meets one row per run there at most, however many copies it has.
 
 A digest counts as the same text only together with its byte length and an
 independent 64-bit hash, so each level verifies what it merges.  A group of
@@ -21,18 +22,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, one_space, quoted, text_or_empty
+from .common import cut, one_space, quoted, row_keys, text_or_empty, without
 
 _KEY = ("digest", "n_bytes", "proof")
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256) -> DataFrame:
-    """One narrow row per document: run, id, position, digest, length, second hash."""
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256, pos_col: str | None = None) -> DataFrame:
+    """One narrow row per document: run, id, position (``pos_col``, or a number), digest, length, second hash."""
     text = F.encode(one_space(text_or_empty(quoted(text_col))), "UTF-8")
     keyed = docs.select(
         F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"),
         F.col(quoted(id_col)).alias("id"),
-        F.monotonically_increasing_id().alias("pos"),
+        (F.monotonically_increasing_id() if pos_col is None else F.col(quoted(pos_col))).alias("pos"),
         text.alias("t"),
     )
     return keyed.select(
@@ -69,11 +70,11 @@ def tree_merge(level: DataFrame, runs: int, fan_in: int) -> DataFrame:
     return level.select(*_KEY, F.col("best").alias("root"), F.col("n").alias("group_size"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256, fan_in: int = 16) -> DataFrame:
-    """A row per document: id, keep_id, group_size, kept, sha256 (binary), rows with equal id and text counted once as kept."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256, fan_in: int = 16, pos_col: str | None = None) -> DataFrame:
+    """A row per document: id, keep_id, group_size, kept, sha256 (binary), pos; rows with equal id and text counted once as kept."""
     if runs < 1 or fan_in < 2:
         raise ValueError("runs must be at least 1 and fan_in at least 2")
-    rows = cut(digest_rows(docs, id_col, text_col, runs), "digests")
+    rows = cut(digest_rows(docs, id_col, text_col, runs, pos_col), "digests")
     level = local_runs(rows)
     roots = tree_merge(level, runs, fan_in)
     down = level.select("run", *_KEY).join(roots, list(_KEY))
@@ -83,23 +84,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         F.col("id").eqNullSafe(F.col("root.id")).__and__(F.col("pos") == F.col("root.pos")).alias("kept"),
         "digest",
+        "pos",
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns.
+    """The rows that ``exact_groups`` keeps, with all their columns.
 
-    Joins on identifier and digest, so a repeated identifier with another text
-    stays apart; rows repeating both are reduced to one only where there are any.
+    Only the keys of the dropped rows travel: the identifier, or a stored row
+    number where identifiers are null or repeat.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    kept = cut(groups.filter("kept").select(F.col("id").alias("__keep_id"), F.col("digest").alias("__keep_digest")), "kept")
-    ids = groups.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"))
-    repeated = not ids.filter("n > 1").isEmpty()
-    text = F.encode(one_space(text_or_empty(quoted(text_col))), "UTF-8")
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(text, 256)))
-    same = marked[quoted(id_col)].eqNullSafe(F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest"))
-    out = marked.join(kept, same, "left_semi")
-    if repeated:
-        out = out.dropDuplicates([id_col, "__digest"])
-    return out.drop("__digest")
+    rows, key = row_keys(docs, id_col)
+    dropped = cut(exact_groups(rows, id_col, text_col, pos_col=key).filter("NOT kept").select("pos"), "dropped")
+    return without(rows, key, dropped).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -7,23 +7,22 @@ hashes.  A text without words has fingerprint zero.
 Search for all pairs of distinct fingerprints at ``radius`` or fewer differing
 bits, exact:
 
-1. Distinct fingerprints that share a centre (a 64-bit value at most one bit from
-   each) differ by two bits or fewer, so they link without further proof.  A
-   centre has at most 65 neighbours, so no group is large.  This contracts dense
-   groups of near copies to labels.
-2. Bits are grouped so that correlated ones meet in one partition (statistics
+1. Bits are grouped so that correlated ones meet in one partition (statistics
    over all fingerprints), and a dynamic programme gives each partition an own
-   threshold t_i with sum t_i = radius - m + 1, minimising the estimated number
-   of candidates and probes.  By the generalised pigeonhole principle a linked
-   pair is within t_i on some partition i.
-3. Probe: each fingerprint emits its partition value's neighbours such that two
-   values within t_i share a key.  Keys under which only one label meets are
-   dropped by a pre-aggregated min/max.
-4. Verify: under what is left, pairs of different labels with ``radius`` or
-   fewer differing bits become edges.
-
-Components over centres and edges give each document the smallest doc_id that
-it reaches.
+   threshold t_i with sum t_i = radius - m + 1 (-1: not probed), minimising the
+   estimated cost of candidates and probes; the number m of partitions is the
+   cheapest one.  By the generalised pigeonhole principle a linked pair is within
+   t_i on some partition i.
+2. Probe: each fingerprint emits its partition value's neighbours such that two
+   values within t_i share a key.  The fingerprints of a key beyond ``block`` are
+   dealt into blocks, and each pair of blocks is a join key of its own, so no
+   task holds a hot key whole.
+3. Verify: pairs under a key with ``radius`` or fewer differing bits are links.
+   At most 2,081 distinct 64-bit values are within 4 bits of one another, so
+   dense groups have links in proportion to their size.
+
+Components over the links give each document the smallest doc_id that it
+reaches.
 
 Defined results: null text is empty text; an empty table gives no rows; rows
 that repeat stay repeated and share a component; a null doc_id is larger than
@@ -34,15 +33,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, quoted, text_or_empty
+from .common import cut, quoted, row_keys, text_or_empty, without
 from .components import components
 
 SEED = 42
@@ -71,17 +70,17 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp bigint): fp holds the unsigned fingerprint's bits."""
-    rows = docs.select(F.col(quoted(id_col)).alias("id"), text_or_empty(quoted(text_col)).alias("t"))
-    kind = rows.schema["id"].dataType
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, key_col: str | None = None) -> DataFrame:
+    """(id, fp bigint, key): fp holds the unsigned fingerprint's bits, key is ``key_col`` or the id."""
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(key_col or id_col)).alias("key"), text_or_empty(quoted(text_col)).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
+            fps = [fingerprint(t.as_py(), width) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(1)], names=["id", "fp", "key"])
 
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, fp bigint")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "key")}
+    return rows.mapInArrow(run, f"id {kinds['id']}, fp bigint, key {kinds['key']}")
 
 
 # ---------------------------------------------------------------- planning
@@ -137,11 +136,18 @@ def group_bits(n: int, joint: np.ndarray, parts: int) -> list[list[int]]:
 
 def keys_per_row(bits: int, threshold: int) -> int:
     """Keys that one fingerprint emits for a partition (see ``key_masks``)."""
-    return 0 if threshold < 0 else len(key_masks(list(range(bits)), threshold))
+    if threshold < 0:
+        return 0
+    r, odd = divmod(threshold, 2)
+    return bits * sum(comb(bits - 1, k) for k in range(r + 1)) if odd else sum(comb(bits, k) for k in range(r + 1))
+
 
+#: What a probe row costs (made, shuffled, sorted) in units of one candidate pair compared.
+PROBE_COST = 30.0
 
-def allocate(n: int, joint: np.ndarray, groups: list[list[int]], radius: int) -> list[int]:
-    """Thresholds by dynamic programming over partitions and the threshold budget."""
+
+def allocate(n: int, joint: np.ndarray, groups: list[list[int]], radius: int) -> tuple[float, list[int]]:
+    """(estimated cost, thresholds) by dynamic programming over partitions and the threshold budget."""
     same = np.diag(joint) / max(n, 1)
     agree = same**2 + (1 - same) ** 2
     budget = radius - len(groups) + 1
@@ -154,7 +160,7 @@ def allocate(n: int, joint: np.ndarray, groups: list[list[int]], radius: int) ->
         for b in group:  # distribution of the number of differing bits
             within[1:] = within[1:] * agree[b] + within[:-1] * (1 - agree[b])
             within[0] *= agree[b]
-        return n * n / 2 * within[: t + 1].sum() + n * keys_per_row(len(group), t)
+        return n * n / 2 * within[: t + 1].sum() + PROBE_COST * n * keys_per_row(len(group), t)
 
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for group in groups:
@@ -164,7 +170,17 @@ def allocate(n: int, joint: np.ndarray, groups: list[list[int]], radius: int) ->
                 if (now := total + cost(group, t)) < step.get(used + t, (np.inf, []))[0]:
                     step[used + t] = (now, [*chosen, t])
         best = step
-    return best[budget][1]
+    return best[budget]
+
+
+def plan(n: int, joint: np.ndarray, radius: int, parts: int | None = None) -> tuple[list[list[int]], list[int]]:
+    """(bit groups, thresholds); of one to ``radius`` + 1 partitions the cheapest number, unless it is given."""
+    tried = []
+    for m in range(1, radius + 2) if parts is None else [parts]:
+        groups = group_bits(n, joint, m)
+        cost, thresholds = allocate(n, joint, groups, radius)
+        tried.append((cost, groups, thresholds))
+    return min(tried, key=lambda t: t[0])[1:]
 
 
 def key_masks(bits: list[int], threshold: int) -> list[tuple[int, int, int]]:
@@ -209,76 +225,60 @@ def _spread(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(1 + n // _ROWS_PER_TASK, "fp")
 
 
-def links(distinct: DataFrame, radius: int = 4, parts: int = 2) -> DataFrame:
-    """(a, b) edges whose components are those of all pairs within ``radius`` bits."""
-    full = (1 << 64) - 1
+def links(distinct: DataFrame, radius: int = 4, parts: int | None = None, block: int = 4096) -> DataFrame:
+    """(a, b), a < b: all pairs within ``radius`` bits, repeated where several keys find one."""
     n, joint = bit_statistics(distinct)
-    distinct = _spread(distinct, n)
-    centres = [(0, full, 0)] + [(0, full, 1 << b) for b in range(64)]
-    if radius >= 2:
-        near = distinct.select("fp", _variants(centres).alias("k")).select("fp", F.col("k.key").alias("key"))
-        star = near.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-        near_edges = cut(
-            star.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b").distinct(), "near"
-        )
-        known = components(near_edges)
-        labelled = cut(
-            distinct.join(known, distinct.fp == known.v, "left").select("fp", F.coalesce("label", "fp").alias("label")), "labelled"
-        )
-    else:
-        near_edges = None
-        labelled = distinct.select("fp", F.col("fp").alias("label"))
-    groups = group_bits(n, joint, parts)
     masks = []
-    for k, (group, t) in enumerate(zip(groups, allocate(n, joint, groups, radius), strict=True)):
+    for k, (group, t) in enumerate(zip(*plan(n, joint, radius, parts), strict=True)):
         inside = sum(1 << b for b in group)
         if t >= 0:
             masks += [(k * 128 + tag, inside & ~clear, flip) for tag, clear, flip in key_masks(group, t)]
-    probes = _spread(labelled, n).select("fp", "label", _variants(masks).alias("k")).select("fp", "label", "k.tag", "k.key")
-    mixed = probes.groupBy("tag", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tag", "key")
-    open_ = cut(probes.join(mixed, ["tag", "key"], "left_semi"), "open")
-    left = open_.select("tag", "key", F.col("fp").alias("a"), F.col("label").alias("la"))
-    right = open_.select("tag", "key", F.col("fp").alias("b"), F.col("label").alias("lb"))
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = left.join(right, ["tag", "key"]).filter((F.col("la") < F.col("lb")) & close).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    own = labelled.filter("fp <> label").select(F.col("label").alias("a"), F.col("fp").alias("b"))
-    return own.union(pairs) if near_edges is not None else pairs
-
-
-def _near_labels(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(id, fp) per document, and (fp, label, component_id) per fingerprint; a label is a fingerprint of the component."""
-    rows = cut(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    probes = _spread(distinct, n).select("fp", _variants(masks).alias("k")).select("fp", "k.tag", "k.key")
+    size = probes.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    hot = cut(size.select("tag", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot")
+    left = probes.select("tag", "key", F.col("fp").alias("a"))
+    right = probes.select("tag", "key", F.col("fp").alias("b"))
+    if hot.isEmpty():
+        pairs = left.join(right, ["tag", "key"])
+    else:
+        # A fingerprint of block i meets blocks j >= i from the left and j <= i from the right.
+        def dealt(side: DataFrame, fp: str, from_left: bool) -> DataFrame:
+            last = F.coalesce("blocks", F.lit(1)) - 1
+            own = F.pmod(F.xxhash64(fp), last + 1).cast("int")
+            other = F.explode(F.sequence(own, last) if from_left else F.sequence(F.lit(0), own)).alias("other")
+            rows = side.join(hot, ["tag", "key"], "left").select("tag", "key", fp, own.alias("own"), other)
+            return rows.select("tag", "key", fp, *[F.col(c).alias(x) for c, x in zip(("own", "other") if from_left else ("other", "own"), ("i", "j"), strict=True)])
+
+        pairs = dealt(left, "a", True).join(dealt(right, "b", False), ["tag", "key", "i", "j"])
+    near = pairs.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    both = near if not hot.isEmpty() else near.filter("a < b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, parts: int | None = None, key_col: str | None = None) -> DataFrame:
+    """A row per document: id, fp (bigint bits), component_id, and ``key_col`` as ``key`` if it is given."""
+    rows = cut(fingerprints(docs, id_col, text_col, width, key_col), "fingerprints")
     per_fp = cut(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     labels = components(links(per_fp.select("fp"), radius, parts))
     rooted = per_fp.join(labels, per_fp.fp == labels.v, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     low = rooted.groupBy("label").agg(F.min("low").alias("component_id"))
-    return rows, cut(rooted.join(low, "label").select("fp", "label", "component_id"), "classes")
+    return rows.join(rooted.join(low, "label").select("fp", "label", "component_id"), "fp")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, parts: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, parts: int | None = None) -> DataFrame:
     """A row per document: id, fp (bigint bits), component_id."""
-    rows, by_fp = _near_labels(docs, id_col, text_col, width, radius, parts)
-    return rows.join(by_fp, "fp").select("id", "fp", "component_id")
+    return near_rows(docs, id_col, text_col, width, radius, parts).select("id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays: the one with the smallest id, all columns.
 
-    Rows that repeat that id, null or not, with a text of the same component are
-    reduced to one.  Rows of other components with that id do not count: where
-    ids repeat, rows are told apart by id and fingerprint.
+    A null id is larger than any other.  Of rows that share the smallest id, null
+    or not, the first stored one stays.  Only the keys of the dropped rows travel:
+    the identifier, or a stored row number where identifiers are null or repeat.
     """
-    rows, by_fp = _near_labels(docs, id_col, text_col, 4, 4, 2)
-    lowest = rows.join(by_fp, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    stay = cut(lowest.groupBy("label", "id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "stay")
-    kept = stay.select(F.col("id").alias("__stay_id"), F.col("fp").alias("__stay_fp"))
-    if rows.groupBy("id").count().filter("count > 1").isEmpty():
-        return docs.join(kept, docs[quoted(id_col)].eqNullSafe(F.col("__stay_id")), "left_semi")
-
-    @F.pandas_udf("bigint")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
-
-    marked = docs.withColumn("__fp", fp(text_or_empty(quoted(text_col))))
-    out = marked.join(kept, marked[quoted(id_col)].eqNullSafe(F.col("__stay_id")) & (F.col("__fp") == F.col("__stay_fp")), "left_semi")
-    return (out if stay.filter("n > 1").isEmpty() else out.dropDuplicates([id_col, "__fp"])).drop("__fp")
+    rows, key = row_keys(docs, id_col)
+    found = cut(near_rows(rows, id_col, text_col, key_col=key).select("label", "id", "key"), "near")
+    stays = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("s")).select(F.col("s.key").alias("kept"))
+    dropped = cut(found.join(stays, found["key"] == stays["kept"], "left_anti").select("key"), "dropped")
+    return without(rows, key, dropped).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -39,6 +39,16 @@ def test_drop_keeps_one_row_of_each_text(spark):
     assert sorted(r.doc_id for r in out.collect()) == [2, 3, 7, 8, 10]
 
 
+def test_the_marked_row_stays_and_any_column_name_is_fine(spark):
+    rows = [(7, "c", k, "d", 1, 2) for k in range(40)] + [(None, "c", 99, "d", 1, 2), (8, "e", 5, "d", 1, 2)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, row_number int, __digest string, gone int, pos int").repartition(4, "row_number")
+    out = exact_dedup.drop_exact_copies(d)
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [7, 8]
+    plain = spark.createDataFrame([(k, f"t{k % 3}", 1) for k in range(9)], "doc_id bigint, text string, __keep_id int")
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(plain).collect()) == [0, 1, 2]
+    assert "BroadcastHashJoin" in exact_dedup.drop_exact_copies(plain)._jdf.queryExecution().executedPlan().toString()  # texts stay where they are
+
+
 def test_empty_table(spark):
     assert exact_dedup.exact_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     assert exact_dedup.drop_exact_copies(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -41,9 +41,9 @@ def test_fingerprint_matches_brute_force():
     assert simhash.fingerprint("") == simhash.fingerprint(" \n") == 0
 
 
-@pytest.mark.parametrize("radius,parts", [(4, 2), (4, 3), (3, 4), (1, 1)])
+@pytest.mark.parametrize("radius,parts", [(4, None), (4, 2), (4, 3), (4, 5), (3, 4), (1, 1)])
 def test_groups_match_brute_force(spark, radius, parts):
-    r = random.Random(radius * 10 + parts)
+    r = random.Random(radius * 10 + (parts or 0))
     fps = []
     for _ in range(6):
         base = r.getrandbits(64)
@@ -54,7 +54,12 @@ def test_groups_match_brute_force(spark, radius, parts):
     fps += [0, 1, (1 << 64) - 1, 3 << 60]
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp bigint"), radius, parts)
+    table = spark.createDataFrame([(s,) for s in signed], "fp bigint")
+    edges = simhash.links(table, radius, parts)
+    want = {(min(a, b), max(a, b)) for a, x in zip(signed, fps) for b, y in zip(signed, fps) if a != b and (x ^ y).bit_count() <= radius}
+    assert {(r.a, r.b) for r in edges.collect()} == want
+    if parts != 2:  # every key beyond three fingerprints is dealt into blocks
+        assert {(r.a, r.b) for r in simhash.links(table, radius, parts, 3).collect()} == want
     got = {r.v & (1 << 64) - 1: r.label for r in components(edges).collect()}
     want = brute_components(fps, radius)
     groups_got, groups_want = {}, {}
@@ -108,6 +113,15 @@ def test_repeated_ids_lose_no_component(spark):
 def test_thresholds_add_up():
     joint = np.diag(np.full(64, 50.0)) + 25
     for parts in (1, 2, 3, 5):
-        groups = simhash.group_bits(100, joint, parts)
+        groups, thresholds = simhash.plan(100, joint, 4, parts)
         assert sorted(b for g in groups for b in g) == list(range(64))
-        assert sum(simhash.allocate(100, joint, groups, 4)) == 4 - parts + 1
+        assert sum(thresholds) == 4 - parts + 1
+    for bits, t in ((13, 0), (16, 1), (21, 2), (9, 3)):
+        assert simhash.keys_per_row(bits, t) == len(simhash.key_masks(list(range(bits)), t))
+
+
+def test_more_fingerprints_take_fewer_partitions():
+    def parts(n):
+        return len(simhash.plan(n, np.full((64, 64), n / 4) + np.diag(np.full(64, n / 4)), 4)[0])
+
+    assert parts(10_000) == 5 and parts(10**10) == 2 and parts(10**7) in (3, 4)
