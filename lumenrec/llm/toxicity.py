@@ -2,14 +2,19 @@
 
 Terms of a text: its distinct lower-case words, the words' first three to seven
 letters (stems), and stems that two or four distinct words share, hashed to
-2**20 slots.  Slots whose class counts differ by ``z``
-standard deviations on the training rows enter the model: a bias, a weight per
-slot and a ``rank``-vector per slot, so that pairs of terms interact.
+2**20 slots.  The machine has a bias, a weight per slot and a ``rank``-vector per
+slot, so that pairs of terms interact.  Two kinds of slots enter it, at the
+significance that leaves noise out over all slots and pairs:
+
+* slots whose class counts differ by ``z`` standard deviations;
+* both words of a pair that toxic rows share more often, by ``pair_z`` standard
+  deviations, than either word's own share of toxic rows tells.  So an insult
+  and a group mention enter even where each alone says nothing.
 
 Training rows: a bounded sample of labelled rows (``max_rows``, by hash of the
-id) outside the held-out fold, of which rows of one class that share a word-triple
-sketch (copies) count once.  Class counts are added up by Spark; only the
-selected slots of the sample reach the driver.  Every row's whole text is scored.
+id) outside the held-out fold; rows of one class with the same slots count once.
+Class counts are added up by Spark; only the sample's words and its chosen slots
+reach the driver.  Every row's whole text is scored.
 
 Defined results: null and empty texts get the bias's score; without training
 rows of both classes every score is the share of toxic rows (0 without any);
@@ -40,6 +45,7 @@ _STEP = 0x9E377
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 200_000
 _SLICE = 256  # rows featurised at a time, which bounds a worker's memory
+LEAST = 5  # rows that a term or a pair must be in to be tested
 
 
 def word_slots(word: str) -> tuple[int, ...]:
@@ -69,10 +75,42 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _sketches(tokens: list[str]) -> tuple[int, int]:
-    """Two smallest-hash sketches of word triples, under different salts."""
-    triples = {" ".join(tokens[k : k + 3]).encode("utf-8", "surrogatepass") for k in range(max(1, len(tokens) - 2))}
-    return min(crc32(t) for t in triples), min(crc32(t, 0x5EED) for t in triples)
+def pair_slots(toxic: list[np.ndarray], clean: list[np.ndarray], z: float) -> np.ndarray:
+    """Slots of word pairs that toxic rows share beyond what either word alone tells.
+
+    Rows are bits, so a pair's counts are the ones of two bit strings' conjunction.
+    """
+    n1, n = len(toxic), len(toxic) + len(clean)
+    if not n1 or n1 == n:
+        return np.zeros(0, np.int64)
+    flat = np.concatenate(toxic)
+    slots = np.flatnonzero(np.bincount(flat, minlength=SLOTS) >= LEAST)
+    place = np.full(SLOTS, -1)
+    place[slots] = np.arange(len(slots))
+
+    def bits(rows: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(slots), -(-len(rows) // 64) * 8), np.uint8)
+        for r, own in enumerate(rows):
+            at = place[own]
+            out[at[at >= 0], r >> 3] |= 1 << (r & 7)
+        return out.view(np.uint64)
+
+    ones, zeros = bits(toxic), bits(clean)
+    d1 = np.bitwise_count(ones).sum(1, dtype=np.int64)
+    share = np.maximum(d1 / (d1 + np.bitwise_count(zeros).sum(1, dtype=np.int64)), n1 / n)
+    chosen = np.zeros(len(slots), bool)
+    for a in range(len(slots) - 1):
+        both = np.bitwise_count(ones[a] & ones[a + 1 :]).sum(1, dtype=np.int64)
+        own = np.minimum(np.maximum(share[a], share[a + 1 :]), 1 - 1e-9)
+        able = np.flatnonzero((both >= LEAST) & (both * (1 - own) >= z * z * own))  # even if no clean row has both
+        if len(able):
+            all_ = both[able] + np.bitwise_count(zeros[a] & zeros[a + 1 + able]).sum(1, dtype=np.int64)
+            r = own[able]
+            hit = able[both[able] - all_ * r >= z * np.sqrt(all_ * r * (1 - r))]
+            if len(hit):
+                chosen[a] = True
+                chosen[a + 1 + hit] = True
+    return slots[chosen]
 
 
 @dataclass
@@ -108,7 +146,7 @@ def fit(x: np.ndarray, y: np.ndarray, rank: int = 8, epochs: int = 30, rate: flo
         order = rng.permutation(n)
         for at in range(0, n, 256):
             pick = order[at : at + 256]
-            xb, yb = x[pick].astype(np.float64), y[pick]
+            xb, yb = x[pick].astype(np.float64), y[pick]  # x is 0/1 in bytes
             thin = rng.random(len(pick)) < drop_rows
             xb[thin] *= rng.random((int(thin.sum()), k)) < keep
             told = (yb == 0) | ~thin | xb.any(axis=1)  # a toxic row that lost all its terms says nothing
@@ -130,9 +168,9 @@ def fit(x: np.ndarray, y: np.ndarray, rank: int = 8, epochs: int = 30, rate: flo
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, max_slots: int = 1024, z: float = 4.5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, z: float = 5.3, pair_z: float = 6.0, id_col: str = "doc_id", text_col: str = "text"
 ) -> Machine:
-    """Fit on ``labels`` (id, toxic); at most ``max_rows`` rows and ``max_slots`` slots."""
+    """Fit on ``labels`` (id, toxic), at most ``max_rows`` of them."""
     sample = (
         labels.filter("id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("id")
@@ -143,28 +181,24 @@ def train(
     texts = docs.select(F.col(quoted(id_col)).alias("doc"), text_or_empty(quoted(text_col)).alias("t"))
     joined = texts.join(F.broadcast(sample), texts.doc == sample.id).select("toxic", "t")  # bounded by max_rows
 
+    def lists(rows: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)))
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, _SLICE):
-                y, a, b, flat, ends = [], [], [], [], [0]
                 part = batch.slice(k, _SLICE)
+                y, heads, slots = [], [], []
                 for label, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     tokens = words(t.as_py())
-                    slots = text_slots(tokens)
-                    first, second = _sketches(tokens)
                     y.append(int(label))
-                    a.append(first)
-                    b.append(second)
-                    flat.append(slots)
-                    ends.append(ends[-1] + len(slots))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(y, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], names=["y", "a", "b", "slots"]
-                )
-
-    raw, path = table(joined.mapInArrow(features, "y int, a bigint, b bigint, slots array<int>"), "toxic-sample")
-    one = raw.groupBy("y", "a").agg(F.min_by(F.struct("y", "b", "slots"), F.struct("b", F.size("slots"))).alias("r")).select("r.*")
-    rows, path2 = table(one.groupBy("y", "b").agg(F.min_by(F.struct("y", "slots"), F.size("slots")).alias("r")).select("r.*"), "toxic-rows")
+                    heads.append(np.unique(np.array([word_slots(w)[0] for w in set(tokens)], np.int32)))
+                    slots.append(text_slots(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), lists(heads), lists(slots)], names=["y", "heads", "slots"])
+
+    made, path = table(joined.mapInArrow(features, "y int, heads array<int>, slots array<int>"), "toxic-sample")
+    rows, path2 = table(made.groupBy("y", "slots").agg(F.min("heads").alias("heads")), "toxic-rows")
     remove(docs.sparkSession, path)
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or not 0 < n1 < n:
@@ -174,12 +208,18 @@ def train(
     p = n1 / n
     counts = rows.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("d"), F.sum("y").alias("d1"))
     gap = F.abs(F.col("d1") - F.col("d") * p) / F.sqrt(F.col("d") * F.lit(p * (1 - p)))
-    chosen = [r.slot for r in counts.filter(F.col("d") >= 5).withColumn("gap", gap).filter(F.col("gap") >= z).orderBy(F.desc("gap"), "slot").limit(max_slots).collect()]
+    alone = {r.slot for r in counts.filter((F.col("d") >= LEAST) & (gap >= z)).select("slot").collect()}
+    heads: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for y, own in sorted((r.y, r.heads) for r in rows.select("y", "heads").collect()):  # at most max_rows, in an order of their own
+        heads[y > 0].append(np.array(own, np.int64))
+    chosen = sorted(alone | set(pair_slots(heads[1], heads[0], pair_z).tolist()))
+    if not chosen:
+        return Machine(float(np.log(p / (1 - p))), {}, np.zeros(0), np.zeros((0, 1)))
     place = {s: i for i, s in enumerate(chosen)}
     keep = F.array_intersect("slots", F.array(*[F.lit(s) for s in chosen]).cast("array<int>"))
-    data = sorted(rows.select("y", keep.alias("slots")).collect())  # at most max_rows, in an order of their own
+    data = sorted(rows.select("y", keep.alias("slots")).collect())
     remove(docs.sparkSession, path2)
-    x, y = np.zeros((len(data), len(chosen)), np.float32), np.array([r.y for r in data], np.float64)
+    x, y = np.zeros((len(data), len(chosen)), np.uint8), np.array([r.y for r in data], np.float64)
     for i, r in enumerate(data):
         x[i, [place[s] for s in r.slots]] = 1
     bias, weight, vectors = fit(x, y)
@@ -207,13 +247,23 @@ class Scorer:
         return self.machine.score(sorted(index))
 
 
+_LAST: list[Scorer] = []
+
+
+def scorer_of(machine: Machine) -> Scorer:
+    """The worker's scorer: tasks that follow one another share the words met."""
+    if not _LAST or _LAST[0].machine is not machine:
+        _LAST[:] = [Scorer(machine)]
+    return _LAST[0]
+
+
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row, from the text alone."""
     rows = docs.select(F.col(quoted(id_col)).alias("id"), text_or_empty(quoted(text_col)).alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # a few thousand numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for batch in batches:
             out = [scorer(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
@@ -230,18 +280,18 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows whose score is below ``threshold``, all columns; scored in one pass over the rows.
 
     The text travels through Python once more here: the verdict is computed next
     to the row, so nothing has to be joined or shuffled.
     """
-    machine = train(docs, training_labels(labels))
+    machine = train(docs, training_labels(labels), id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    at = docs.columns.index("text")
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for batch in batches:
             fine = [scorer(t.as_py() or "") < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(fine, pa.bool_()))
