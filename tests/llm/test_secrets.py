@@ -1,5 +1,9 @@
+import os
 import re
 
+import numpy as np
+import pytest
+
 from lumenrec.llm import secrets
 
 
@@ -26,14 +30,33 @@ def test_base_spans_match_plain_patterns():
 
 def test_network_is_accurate_and_calibrated_on_new_findings():
     net = secrets.trained()
-    import numpy as np
-
     fresh = secrets.labelled_findings(2000, 99)
     p = net.probability(np.stack([next(secrets.windows(t, s, e)) for t, s, e, _ in fresh]))
     y = np.array([b for *_, b in fresh])
     assert (p[y == 1] >= net.threshold).mean() > 0.95 and (p[y == 0] < net.threshold).mean() > 0.95
 
 
+def test_threshold_keeps_the_recall():
+    net = secrets.trained()
+    recall, alarms = net.held_out
+    assert recall >= 0.96 and alarms <= 0.05
+    strict, loose = secrets.trained(2000, 2, 0.9), secrets.trained(2000, 2, 0.999)
+    assert loose.threshold < strict.threshold and loose.held_out[0] >= strict.held_out[0]  # no floor stands in the way of recall
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_on_findings_of_the_tables(spark):
+    """The base patterns' own findings are secrets for sure: the network, asked alone, finds them."""
+    net, hits, sure = secrets.trained(), 0, 0
+    for t in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        for _, s, e in secrets.base_spans(t.text or ""):
+            rows = np.stack(list(secrets.windows(t.text, s, e)))
+            if e - s >= 16:
+                sure += 1
+                hits += net.probability(rows).max() >= net.threshold
+    assert sure > 20 and hits / sure >= 0.95
+
+
 def test_added_spans_never_overlap_base_and_base_stays():
     net = secrets.trained()
     text = "see ghp_" + "aB3dE5gH7jK9" * 3 + " or password=Zx81kQpw72Lm and www.example.com/path/12/index page"
