@@ -83,52 +83,66 @@ def format_conversations(conversations: DataFrame, stretch: int = 512) -> DataFr
             (t["role"] == "assistant").alias("loss"),
         ),
     )
-    state = "struct<at:bigint,loss:array<struct<start:bigint,length:bigint>>>"
-    spans = F.aggregate(
-        "heads",
-        F.expr(f"cast(named_struct('at', 0L, 'loss', array()) as {state})"),
-        lambda acc, h: F.struct(
-            (acc["at"] + F.length(h["head"]) + F.length(h["text"])).cast("bigint").alias("at"),
-            F.when(
-                h["loss"],
-                F.concat(
-                    acc["loss"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(h["head"])).cast("bigint").alias("start"),
-                            F.length(h["text"]).cast("bigint").alias("length"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["loss"])
-            .alias("loss"),
-        ),
-        lambda acc: acc["loss"],
-    )
     return (
         ordered.withColumn("marked", marked)
         .withColumn("heads", heads)
+        .withColumn("chunks", F.transform(_chunks(F.col("heads")), _spans))
         .select(
             "conv_id",
             F.concat(
                 F.array_join(F.transform("heads", lambda h: F.concat(h["head"], h["text"])), ""), F.lit(CLOSE)
             ).alias("formatted"),
-            spans.alias("loss"),
+            _moved(F.col("chunks")).alias("loss"),
         )
     )
 
 
+#: Turns whose spans are gathered at once: appending to a growing array copies it, so arrays grow by chunks.
+_CHUNK = 256
+
+
+def _chunks(items: Column) -> Column:
+    """The array as an array of arrays of up to _CHUNK items; one empty one for an empty array."""
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / _CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * _CHUNK + 1, F.lit(_CHUNK)))
+
+
+def _spans(chunk: Column) -> Column:
+    """Length of the chunk's string, and its loss spans from the chunk's start."""
+
+    def span(at: Column, h: Column) -> Column:
+        return F.array(F.struct((at + F.length(h["head"])).cast("bigint").alias("start"), F.length(h["text"]).cast("bigint").alias("length")))
+
+    return F.aggregate(
+        chunk,
+        F.expr("cast(named_struct('at', 0L, 'loss', array()) as struct<at:bigint,loss:array<struct<start:bigint,length:bigint>>>)"),
+        lambda acc, h: F.struct(
+            (acc["at"] + F.length(h["head"]) + F.length(h["text"])).cast("bigint").alias("at"),
+            F.when(h["loss"], F.concat(acc["loss"], span(acc["at"], h))).otherwise(acc["loss"]).alias("loss"),
+        ),
+    )
+
+
+def _moved(chunks: Column) -> Column:
+    """All chunks' spans, moved by the lengths before them."""
+    starts = F.aggregate(chunks, F.array(F.lit(0).cast("bigint")), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+    at = F.slice(starts, 1, F.size(chunks))
+    moved = F.zip_with(chunks, at, lambda c, a: F.transform(c["loss"], lambda s: F.struct((s["start"] + a).alias("start"), s["length"].alias("length"))))
+    return F.flatten(moved)
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns, array<struct<role, text>>, read back from a formatted string."""
     blocks = F.filter(F.split(formatted, r"\Q" + CLOSE + r"\E"), lambda b: b != "")
     return F.flatten(
         F.transform(
             blocks,
-            lambda b: F.transform(
-                F.split(_body(b), r"\Q" + TURN + r"\E"),
-                lambda part: F.struct(unescape(_role(b)).alias("role"), unescape(part).alias("text")),
-            ),
+            lambda b: F.transform(  # the role is read once for all of its turns
+                F.array(unescape(_role(b))),
+                lambda role: F.transform(
+                    F.split(_body(b), r"\Q" + TURN + r"\E"), lambda part: F.struct(role.alias("role"), unescape(part).alias("text"))
+                ),
+            )[0],
         )
     )
 
@@ -142,7 +156,19 @@ def _body(block: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    """The text under the mask, unescaped, nothing between the spans."""
-    return F.array_join(
-        F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), ""
-    )
+    """The text under the mask, unescaped, nothing between the spans.
+
+    Finding a place in a string means walking to it, so a chunk of spans first
+    takes its own stretch of the string.
+    """
+
+    def cut(text: Column, start: Column, length: Column) -> Column:
+        return F.substring(text, (start + 1).cast("int"), length.cast("int"))
+
+    def one(spans: Column) -> Column:
+        first, last = F.element_at(spans, 1)["start"], F.element_at(spans, -1)
+        stretch = F.array(F.struct(cut(formatted, first, last["start"] + last["length"] - first).alias("text"), first.alias("first")))
+        parts = F.transform(stretch, lambda x: F.transform(spans, lambda s: unescape(cut(x["text"], s["start"] - x["first"], s["length"]))))
+        return F.array_join(parts[0], "")
+
+    return F.array_join(F.transform(F.filter(_chunks(loss), lambda c: F.size(c) > 0), one), "")

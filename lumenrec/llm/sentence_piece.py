@@ -10,7 +10,9 @@ piece before it.  Its ids are the library's.
 Words of equal length advance together.  Rolling hashes of substrings probe the
 sorted keys of all pieces of that length; compatibility of the hits is looked up
 in a table of piece pairs; a vectorised maximum over candidate lengths stores
-the backpointer.  Each word met is kept, up to a bound, as its ids.
+the backpointer.  Each word met is kept, up to a bound, as its ids, for all tasks
+of a worker.  A long word is first cut between neighbours that no piece holds
+side by side, which no merge can cross.
 
 Text is prefixed with one space, spaces become U+2581, and words begin at spaces;
 line ends and tabs, which no piece holds, also part words.  Runs of spaces,
@@ -45,6 +47,7 @@ _UNITS = re.compile(f"{SPACE}+(?={SPACE})|{SPACE}?[^{SPACE}\n\t]+|[\n\t]|{SPACE}
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _UNKNOWN = -2  # a character outside the vocabulary
 _KEPT_WORDS = 300_000
+_LONG = 64  # characters beyond which a word is cut at sure borders
 _SLICE = 1024  # rows whose new words are encoded together
 
 
@@ -59,6 +62,7 @@ class Vocabulary:
     ids: list[np.ndarray]  # by length: ids in that order
     pair_keys: np.ndarray  # sorted left * V + right of all pairs that join to a piece
     pair_rank: np.ndarray
+    neighbours: frozenset[str]  # characters that stand side by side in some piece
 
     @property
     def size(self) -> int:
@@ -147,7 +151,7 @@ def load(path: str | None = None) -> Vocabulary:
             raise ValueError("two pieces share a hash")
         keys.append(h[by])
         ids.append(np.array(own, np.int64)[by])
-    return Vocabulary(pieces, fallback, rank, left, right, keys, ids, made, rank[[pairs[k] for k in made.tolist()]])
+    return Vocabulary(pieces, fallback, rank, left, right, keys, ids, made, rank[[pairs[k] for k in made.tolist()]], frozenset(p[k : k + 2] for p in pieces for k in range(len(p) - 1)))
 
 
 class Encoder:
@@ -264,14 +268,24 @@ class Encoder:
             step += 1
         return found, count
 
+    def _segments(self, word: str) -> list[str]:
+        """The word cut wherever no piece holds both neighbours."""
+        near = self.v.neighbours
+        cuts = [0, *[k for k in range(1, len(word)) if word[k - 1 : k + 1] not in near], len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _learn(self, words: list[str]) -> None:
+        cut = {w: self._segments(w) for w in words if len(w) > _LONG}
+        fresh = {w for w in words if w not in cut}.union(*cut.values()).difference(self.words)
         by_length: dict[int, list[str]] = {}
-        for w in words:
+        for w in fresh:
             by_length.setdefault(len(w), []).append(w)
         for length, same in by_length.items():
             step = max(1, min(20_000, (1 << 21) // (length + 1)))
             for k in range(0, len(same), step):
                 self._keep(same[k : k + step], *self.viterbi(same[k : k + step]))
+        for w, parts in cut.items():
+            self.words[w] = b"".join([self.words[x] for x in parts])
 
     def _keep(self, words: list[str], found: np.ndarray, count: np.ndarray) -> None:
         """Stores each word's ids as bytes, and checks that the pieces spell the words."""
@@ -352,13 +366,25 @@ class Encoder:
         return spelled.removeprefix(b" ").decode("utf-8", "replace")
 
 
+_LAST: list[Encoder] = []
+
+
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """The worker's encoder: tasks that follow one another share the words met."""
+    for made in _LAST:
+        if made.v is vocabulary:
+            return made
+    _LAST[:] = [Encoder(vocabulary), *_LAST[:1]]
+    return _LAST[0]
+
+
 def encode_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, pieces array<int>) for every row."""
     rows = docs.select(F.col(quoted(id_col)).alias("id"), text_or_empty(quoted(text_col)).alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(load(path))  # the vocabulary: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(k, _SLICE)
@@ -376,7 +402,7 @@ def decode_table(encoded: DataFrame, path: str | None = None) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             out = []
             for ids in batch.column(1):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import cut, new_path
 
 CRLF = "\r\n"
 _V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
@@ -244,9 +244,9 @@ def decide(ids: DataFrame, least: int) -> DataFrame:
 
 
 def write_warc(archives: DataFrame, path: str, least: int = 0, records_per_file: int = 1000) -> None:
-    """Convert ARC archives to WARC files under ``path``."""
+    """Convert stored ARC archives to WARC files under ``path``: once for the ids, once for the payloads."""
     records = convert(archives)
-    ids = records.select("page_id", "sha1", F.octet_length("payload").alias("n"))
+    ids = cut(records.select("page_id", "sha1", F.octet_length("payload").alias("n")), "ids")
     verdict = decide(ids, least)
     joined = records.join(verdict, (records.page_id == verdict.d_page) & (records.sha1 == verdict.d_sha1)).select(
         "page_id", "url", "arc_date", "head", "payload", "sha1", "refers_to"
@@ -297,8 +297,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Pages -> ARC -> WARC files -> rows read back."""
+    """Pages -> stored ARC archives -> WARC files -> rows read back."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_warc(pages_to_arc(pages), path, least)
+    write_warc(cut(pages_to_arc(pages), "arc"), path, least)
     return read_archives(spark, path)

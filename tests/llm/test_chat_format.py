@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -36,3 +37,18 @@ def test_long_conversation(spark):
     rows = [(1, k, "user" if k % 2 else "assistant", "wörd " * 50, "", 0) for k in range(1500)]
     got = run(spark, rows)[0]
     assert len(got.turns) == 1500 and hashlib.sha256(got.learnt.encode()).digest() == hashlib.sha256(("wörd " * 50 * 750).encode()).digest()
+
+
+def test_time_is_linear_in_a_conversation(spark):
+    def took(n):
+        rows = [(1, k, "user" if k % 2 else "assistant", "some words here " * 4, "", 0) for k in range(n)]
+        table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string, loss int").cache()
+        table.count()
+        began = time.perf_counter()
+        out = C.format_conversations(table)
+        got = out.select(F.length(C.loss_text(F.col("formatted"), F.col("loss"))).alias("n"), F.size(C.read_turns(F.col("formatted"))).alias("t")).first()
+        assert (got.n, got.t) == (64 * n // 2, n)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(40_000) < 20 * max(took(8_000), 0.2)

@@ -15,6 +15,7 @@ def test_ids_equal_the_library_s():
     texts = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 30))) for _ in range(1500)]
     texts += ["".join(r.choice("abcdeinorstuTEA,.'12") for _ in range(r.randint(1, 14))) + " " + "".join(r.choice("étionsaruqp-") for _ in range(9)) for _ in range(4000)]
     texts += [" " * n + "x" * (n % 7) for n in range(120)] + ["abc" * 3000]
+    texts += ["".join(r.choice(a) for _ in range(n)) for a in ("QWERTYUIOPasdfghjklzxcvbnm0123456789+/", "漢字仮名交文", "étionsaruqp-", "日a", "ab") for n in (65, 300, 4000)]  # long words
     for t, ids in zip(texts, enc.encode(texts), strict=True):
         assert ids.tolist() == LIB.encode(t), t[:80]
         assert enc.decode(ids) == LIB.decode(ids.tolist())
