@@ -77,22 +77,27 @@ def bootstrap_ci(diffs: np.ndarray, rounds: int = 2000, seed: int = 42, batch: i
     return float(lo), float(hi)
 
 
-def bootstrap_distributed(aligned: DataFrame, rounds: int = 500, seed: int = 42) -> DataFrame:
+#: Upper ends of u for Poisson(1) weights 0 to 7; beyond the last the weight is 8.
+POISSON_ENDS = tuple(math.exp(-1.0) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8))
+
+
+def bootstrap_distributed(aligned: DataFrame, rounds: int = 2000, seed: int = 42) -> DataFrame:
     """(ci_low, ci_high) by a Poisson bootstrap, for pair tables of any size.
 
-    Each row draws a Poisson(1) weight per round from a hash of its key, so tasks
-    send one weighted sum per round only, and reruns give the same numbers.
+    Each row draws a Poisson(1) weight per round from an md5 of its key (four
+    rounds a hash), so tasks send one weighted sum per round only, and reruns, in
+    any engine, give the same numbers.
     """
     d = F.col("left_value") - F.col("right_value")
-    rows = aligned.select(d.alias("d"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), "user_id", "movie_id")
-    u = (F.pmod(F.xxhash64("user_id", "movie_id", "round", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, tail, p = F.lit(0), math.exp(-1.0), math.exp(-1.0)
-    for k in range(1, 9):
-        weight = weight + F.when(u > tail, 1).otherwise(0)
-        p /= k
-        tail += p
-    sums = rows.groupBy("round").agg(F.try_divide(F.sum(weight * F.col("d")), F.sum(weight)).alias("m"))
-    return sums.agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // 4) - 1))).alias("block")
+    rows = aligned.select(d.alias("d"), blocks, "user_id", "movie_id")
+    hashed = F.md5(F.encode(F.concat_ws(":", "user_id", "movie_id", F.col("block").cast("string"), F.lit(str(seed))), "UTF-8"))
+    drawn = rows.select("d", "block", hashed.alias("h")).select("d", (F.col("block") * 4).alias("first"), F.posexplode(F.array(*[F.substring("h", 8 * k + 1, 8) for k in range(4)])).alias("k", "x"))
+    u = (F.conv("x", 16, 10).cast("double") + 0.5) / float(1 << 32)
+    weight = sum(((u > end).cast("int") for end in POISSON_ENDS), F.lit(0))
+    sums = drawn.filter(F.col("first") + F.col("k") < rounds).groupBy((F.col("first") + F.col("k")).alias("round"))
+    means = sums.agg(F.try_divide(F.sum(weight * F.col("d")), F.sum(weight)).alias("m"))
+    return means.agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
 
 
 def comparison_matrix(scores: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

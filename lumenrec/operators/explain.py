@@ -2,37 +2,60 @@
 
 from __future__ import annotations
 
+import re
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrec.operators import prep
 from lumenrec.sources.readers import exists
+from lumenrec.sources.workspace import store
 
-PRIMARY_MODE = {"hybrid": "rag", "kg_only": "kg_only", "retrieval_only": "retrieval_only"}
-REFERENCE_PRIORITY = ("rag", "kg_only", "retrieval_only")
 EVIDENCE = "array<struct<doc_id:bigint,movie_id:bigint,text:string,source:string,dense_score:double,bm25_score:double,score:double>>"
 
 RAG_SYSTEM = "Explain in two to four sentences why the movie suits this user. Use only the numbered passages, name the details that you rely on, and tie them to what the user likes."
 PROMPT_SYSTEM = "Explain in two to four sentences why the movie suits this user. Be specific about what matches the user's taste."
 
 
-def primary_mode(evidence_mode: str) -> str:
-    if evidence_mode not in PRIMARY_MODE:
-        raise ValueError(f"Unsupported evidence_mode: {evidence_mode}")
-    return PRIMARY_MODE[evidence_mode]
+@dataclass(frozen=True)
+class EvidenceMode:
+    """Where a mode's explanations are kept, and which kinds of evidence it takes, in order."""
 
+    table: str
+    takes: tuple[str, ...]
+
+
+#: The modes' names, their tables' names, and the order of their evidence.
+MODES = {
+    "hybrid": EvidenceMode("rag", ("graph", "retrieved")),
+    "kg_only": EvidenceMode("kg_only", ("graph",)),
+    "retrieval_only": EvidenceMode("retrieval_only", ("retrieved",)),
+}
+#: Tables by strength of evidence; the last one has none of its own.
+TABLES = ("rag", "kg_only", "retrieval_only", "prompt_only")
 
-def reference_path(spark: SparkSession, directory: str) -> str | None:
-    """The strongest evidence-backed explanation table there is."""
-    return next((p for m in REFERENCE_PRIORITY if exists(spark, p := f"{directory}/explanations_{m}")), None)
+
+def mode(name: str) -> EvidenceMode:
+    try:
+        return MODES[name]
+    except KeyError:
+        raise ValueError(f"{name!r} is no evidence mode; choose from {', '.join(MODES)}") from None
 
 
 def explanation_tables(spark: SparkSession, directory: str) -> list[tuple[str, str]]:
-    """(mode, path) in evaluation order, prompt-only last."""
-    return [(m, p) for m in (*REFERENCE_PRIORITY, "prompt_only") if exists(spark, p := f"{directory}/explanations_{m}")]
+    """(table, path) of the explanation tables that exist, strongest evidence first."""
+    paths = ((t, f"{directory}/explanations_{t}") for t in TABLES)
+    return [(t, p) for t, p in paths if exists(spark, p)]
+
+
+def reference_path(spark: SparkSession, directory: str) -> str | None:
+    """The explanation table with the strongest evidence of its own, if there is any."""
+    backed = [p for t, p in explanation_tables(spark, directory) if t != TABLES[-1]]
+    return backed[0] if backed else None
 
 
 def kg_evidence(texts: Column, movie_id: Column, most: int = 3) -> Column:
@@ -48,25 +71,26 @@ def kg_evidence(texts: Column, movie_id: Column, most: int = 3) -> Column:
     )
 
 
-def bundle(retrieved: Column, kg: Column, evidence_mode: str) -> Column:
-    """Evidence for a mode; hybrid puts graph evidence first."""
-    primary_mode(evidence_mode)
-    none = F.array().cast(EVIDENCE)
-    retrieved, kg = F.coalesce(retrieved, none), F.coalesce(kg, none)
-    return {"hybrid": F.concat(kg, retrieved), "kg_only": kg, "retrieval_only": retrieved}[evidence_mode]
+def bundle(retrieved: Column, graph: Column, name: str) -> Column:
+    """The evidence that a mode takes, in the mode's order; a missing kind is empty."""
+    given = {"graph": graph, "retrieved": retrieved}
+    return F.concat(*[F.coalesce(given[kind], F.array().cast(EVIDENCE)) for kind in mode(name).takes])
 
 
-def pairs_with_paths(recommendations: DataFrame, paths: DataFrame, evidence_mode: str) -> tuple[DataFrame, int]:
-    """For kg_only the pairs that have a path, and how many were left out; all pairs otherwise."""
-    if evidence_mode != "kg_only":
+def explainable(recommendations: DataFrame, paths: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(pairs that the mode has evidence for, number of pairs left out).
+
+    A mode that lives on graph evidence alone needs a path for each pair; no pair
+    with a path at all is an error.
+    """
+    if mode(name).takes != ("graph",):
         return recommendations, 0
-    if paths.isEmpty():
-        raise ValueError("KG-only mode requires non-empty KG paths.")
-    kept = recommendations.join(paths.select("user_id", "movie_id").distinct(), ["user_id", "movie_id"], "left_semi")
-    n, k = recommendations.count(), kept.count()
-    if not k:
-        raise ValueError("No recommendation pairs have KG paths for kg_only mode.")
-    return kept, n - k
+    told = paths.select("user_id", "movie_id").distinct().withColumn("told", F.lit(1))
+    marked = store(recommendations.join(told, ["user_id", "movie_id"], "left"), "marked")
+    kept, n = marked.agg(F.count("told"), F.count(F.lit(1))).first()
+    if not kept:
+        raise ValueError(f"mode {name} needs a graph path for some recommended pair, and there is none")
+    return marked.filter("told = 1").drop("told"), n - kept
 
 
 def with_reference(records: DataFrame, reference: DataFrame) -> DataFrame:
@@ -91,29 +115,58 @@ def remove_key(evidence: Column, share: float = 0.5) -> Column:
     return F.when(n > 0, F.slice(by_score, 1, keep)).otherwise(evidence)
 
 
+def seeded(*parts: Column | str, seed: int = 42) -> Column:
+    """A number from 0 to 2**32 - 1 by the md5 of the parts, the same in any engine."""
+    text = F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 8), 16, 10).cast("bigint")
+
+
 def shuffled(evidence: Column, key: Column, seed: int = 42) -> Column:
-    """E3: an order by seeded hash, the same on every run and partitioning."""
-    keyed = F.transform(evidence, lambda e, i: F.struct(F.xxhash64(key, i, F.lit(seed)).alias("h"), e.alias("e")))
-    return F.transform(F.array_sort(keyed, lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)), lambda x: x["e"])
+    """E3: an order by seeded hash of key and place, the same on every run and partitioning."""
+    keyed = F.transform(evidence, lambda e, i: F.struct(seeded(key, i, seed=seed).alias("h"), i.alias("i"), e.alias("e")))
+    return F.transform(
+        F.array_sort(keyed, lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).when(a["i"] < b["i"], -1).otherwise(1)), lambda x: x["e"]
+    )
 
 
-def replace_text(records: DataFrame, corpus: DataFrame, seed: int = 42, per_slot: int = 64) -> DataFrame:
-    """E4 for texts: as many documents of other movies as there was evidence, scores 0.
+def replace_text(records: DataFrame, corpus: DataFrame, seed: int = 42) -> DataFrame:
+    """E4 for texts: as many documents of other movies as there was evidence (one at least), scores 0.
 
-    Documents are dealt by hash into slots of about ``per_slot``, a record reads
-    one slot, so neither side is crossed with the other.
+    The corpus stands in a seeded order; a record starts at a place of its own and
+    takes the next documents of other movies, from the end on to the beginning.
+    Records that lack some look on over twice the stretch, so each gets its number
+    unless the corpus has fewer.  ``records`` are told apart by (user_id, movie_id).
     """
-    slots = max(1, corpus.count() // per_slot)
-    docs = corpus.select("doc_id", F.col("movie_id").alias("m"), "text", "source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(slots)).alias("slot"))
-    packed = docs.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "m", "text", "source"))).alias("docs"))
-    keyed = records.withColumn("slot", F.pmod(F.xxhash64("user_id", "movie_id", F.lit(seed)), F.lit(slots)))
-    zero = F.lit(0.0)
-    other = F.filter(F.coalesce("docs", F.array().cast("array<struct<h:bigint,doc_id:bigint,m:bigint,text:string,source:string>>")), lambda d: d["m"] != F.col("movie_id"))
-    made = F.transform(
-        F.slice(other, 1, F.greatest(F.size("evidence_used"), F.lit(1))),
-        lambda d: F.struct(d["doc_id"].alias("doc_id"), d["m"].alias("movie_id"), d["text"].alias("text"), d["source"].alias("source"), zero.alias("dense_score"), zero.alias("bm25_score"), zero.alias("score")),
+    keyed = corpus.select("doc_id", F.col("movie_id").alias("m"), "text", "source", seeded("doc_id", seed=seed).alias("h"))
+    docs = store(prep.global_rank(keyed, ["h", "doc_id"], "place"), "corpus").select((F.col("place") - 1).alias("place"), "doc_id", "m", "text", "source")
+    n = docs.count()
+    want = F.greatest(F.size("evidence_used"), F.lit(1))
+    start = F.pmod(seeded("user_id", "movie_id", seed=seed), F.lit(max(n, 1)))
+    open_ = store(records.select("user_id", "movie_id", want.alias("want"), start.alias("start")).distinct(), "open")
+    found, done, width = None, 0, 2
+    while n and not open_.isEmpty():
+        reach = F.least(F.col("want") * width + 8, F.lit(n)).cast("bigint")
+        steps = open_.select("user_id", "movie_id", "want", F.explode(F.sequence(F.lit(0).cast("bigint"), reach - 1)).alias("step"), "start")
+        drawn = steps.withColumn("place", F.pmod(F.col("start") + F.col("step"), F.lit(n))).join(docs.select("place", "m", "doc_id"), "place")
+        other = drawn.filter(F.col("m").isNull() | ~F.col("m").eqNullSafe(F.col("movie_id")))
+        got = other.groupBy("user_id", "movie_id", "want").agg(F.array_sort(F.collect_list(F.struct("step", "place"))).alias("drawn"))
+        got = store(got.select("user_id", "movie_id", "want", F.slice("drawn", 1, F.col("want")).alias("drawn")), "drawn")
+        enough = got if width > n else got.filter(F.size("drawn") >= F.col("want"))
+        found = enough if found is None else found.unionByName(enough)
+        if width > n:
+            break
+        open_ = store(open_.join(enough.select("user_id", "movie_id"), ["user_id", "movie_id"], "left_anti"), "open")
+        width *= 4
+    zero, none = F.lit(0.0), F.array().cast(EVIDENCE)
+    if found is None:
+        return records.withColumn("evidence_used", none)
+    one = F.struct("doc_id", F.col("m").alias("movie_id"), "text", "source", zero.alias("dense_score"), zero.alias("bm25_score"), zero.alias("score"))
+    rows = found.select("user_id", "movie_id", F.explode("drawn").alias("d")).select("user_id", "movie_id", "d.step", "d.place").join(docs, "place")
+    made = rows.select("user_id", "movie_id", F.struct("step", one.alias("e")).alias("x")).groupBy("user_id", "movie_id").agg(
+        F.transform(F.array_sort(F.collect_list("x"), lambda a, b: F.when(a["step"] < b["step"], -1).when(a["step"] > b["step"], 1).otherwise(0)), lambda x: x["e"]).alias("made")
     )
-    return keyed.join(packed, "slot", "left").withColumn("evidence_used", made).drop("docs", "slot")
+    joined = records.join(made, ["user_id", "movie_id"], "left").withColumn("evidence_used", F.coalesce(F.col("made").cast(EVIDENCE), none))
+    return joined.select(records.columns)
 
 
 def replace_kg(records: DataFrame, seed: int = 42) -> DataFrame:
@@ -126,7 +179,7 @@ def replace_kg(records: DataFrame, seed: int = 42) -> DataFrame:
 
 def perturb(records: DataFrame, condition: str, evidence_mode: str, corpus: DataFrame | None = None) -> DataFrame:
     """E1 leaves, E2 removes key items, E3 shuffles, E4 replaces the column ``evidence_used``."""
-    primary_mode(evidence_mode)
+    mode(evidence_mode)  # must exist
     if condition == "E1":
         return records
     if condition == "E2":
@@ -134,37 +187,39 @@ def perturb(records: DataFrame, condition: str, evidence_mode: str, corpus: Data
     if condition == "E3":
         return records.withColumn("evidence_used", shuffled(F.col("evidence_used"), F.concat_ws("_", "user_id", "movie_id")))
     if condition != "E4":
-        raise ValueError(f"Unsupported perturbation condition: {condition}")
+        raise ValueError(f"{condition!r} is none of the conditions E1 to E4")
     if evidence_mode == "kg_only":
         return replace_kg(records)
     if corpus is None:
-        raise ValueError("Text-grounded E4 perturbation requires a corpus.")
+        raise ValueError(f"E4 in mode {evidence_mode} draws from a corpus, which is missing")
     return replace_text(records, corpus)
 
 
 # ---------------------------------------------------------------- generation
 
 
-def history_section(titles: Column, most: int = 10) -> Column:
-    return F.array_join(F.transform(F.slice(titles, 1, most), lambda t: F.concat(F.lit("- "), t)), "\n")
+def _liked(titles: Column, most: int = 10) -> Column:
+    return F.concat(F.lit("This user likes: "), F.array_join(F.transform(F.slice(titles, 1, most), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), "; "), F.lit("."))
 
 
-def evidence_section(evidence: Column) -> Column:
-    return F.array_join(F.transform(evidence, lambda e, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), e["text"])), "\n")
+def _passages(evidence: Column) -> Column:
+    return F.array_join(F.transform(evidence, lambda e, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), e["text"])), "\n")
+
+
+TITLE_LINE = "Movie in question: "
 
 
 def rag_prompt(titles: Column, title: Column, evidence: Column) -> Column:
+    """Passages first, then the movie, then the user's taste and the request."""
     return F.concat(
-        F.lit("## User's Favorite Movies\n"), history_section(titles), F.lit("\n\n## Recommended Movie\n"), title, F.lit("\n\n## Retrieved Evidence\n"), evidence_section(evidence),
-        F.lit('\n\n## Task\nUsing the passages, explain why "'), title, F.lit('" is recommended to this user.'),
+        F.lit("Numbered passages:\n"), _passages(evidence), F.lit(f"\n\n{TITLE_LINE}"), title, F.lit("\n"), _liked(titles),
+        F.lit("\nSay why the movie fits, by passages alone; cite them as (1), (2) and so on."),
     )
 
 
 def plain_prompt(titles: Column, title: Column, genres: Column) -> Column:
-    return F.concat(
-        F.lit("## User's Favorite Movies\n"), history_section(titles), F.lit("\n\n## Recommended Movie\n"), title, F.lit(" ("), F.array_join(genres, ", "), F.lit(")"),
-        F.lit('\n\n## Task\nExplain why "'), title, F.lit('" is recommended to this user.'),
-    )
+    """The movie with its genres, then the user's taste and the request; no passages."""
+    return F.concat(F.lit(TITLE_LINE), title, F.lit(" ("), F.array_join(genres, ", "), F.lit(")\n"), _liked(titles), F.lit("\nSay why the movie fits."))
 
 
 class Backend(ABC):
@@ -179,8 +234,8 @@ class TemplateBackend(Backend):
 
     def generate(self, system: str, user: str, max_new_tokens: int = 256) -> str:
         lines = user.split("\n")
-        cited = [x.split("] ", 1)[1] for x in lines if x.startswith("[") and "] " in x][:2]
-        title = lines[lines.index("## Recommended Movie") + 1] if "## Recommended Movie" in lines else ""
+        cited = [x.split(") ", 1)[1] for x in lines if re.match(r"\(\d+\) ", x)][:2]
+        title = next((x.removeprefix(TITLE_LINE) for x in lines if x.startswith(TITLE_LINE)), "")
         body = f"{title} suits this user. " + (f"As noted: {' '.join(cited)}" if cited else "It matches what this user likes.")
         return " ".join(body.split()[:max_new_tokens])
 

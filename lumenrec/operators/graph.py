@@ -107,99 +107,171 @@ def subgraph(kg: DataFrame, node: str, depth: int = 2, cap: int = 80, seed: int
     return e.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def path_lengths(kg: DataFrame, pairs: DataFrame, limit: int = 4) -> DataFrame:
-    """(user_id, item_id, hops): least hops from any history item to the candidate, null beyond ``limit``.
+#: Bytes of item adjacency that may be broadcast.
+BROADCAST_LIMIT = 64 << 20
 
-    ``pairs`` (user_id, item_id, source) name the graph nodes' items.  The search
-    runs from both ends of each distinct node pair at once, one hop a round.
+
+def _small(items: DataFrame, arrays: list[str]) -> DataFrame:
+    """The stored item table, with a broadcast hint if its arrays (counted, about 48 bytes an entry) are small enough."""
+    kept = store(items, "items")
+    entries = kept.agg(F.coalesce(F.sum(sum((F.size(a) for a in arrays), F.lit(1))), F.lit(0))).first()[0]
+    return F.broadcast(kept) if entries * 48 <= BROADCAST_LIMIT else kept
+
+
+def item_links(kg: DataFrame) -> DataFrame:
+    """(node, links array<struct<mid, rel>> in order): the neighbours of each movie node.  No hub node's list is made."""
+    rows = undirected(kg).filter(F.col("src").startswith("movie_"))
+    return rows.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list(F.struct(F.col("dst").alias("mid"), F.col("relation").alias("rel")))).alias("links"))
+
+
+def _with_links(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds ``ls`` and ``lt``, the links of the columns ``s`` and ``t`` (empty for nodes outside the graph)."""
+    none = F.array().cast("array<struct<mid:string,rel:string>>")
+    out = pairs
+    for end, name in (("s", "ls"), ("t", "lt")):
+        out = out.join(links.select(F.col("node").alias(end), F.col("links").alias(name)), end, "left").withColumn(name, F.coalesce(name, none))
+    return out
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("s", _node("movie", F.col("source"))).withColumn("t", _node("movie", F.col("item_id")))
+
+
+def path_lengths(kg: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(user_id, item_id, hops): least hops from any ``source`` item to the candidate, null where no path exists.
+
+    Up to two hops are told by the two ends' own links.  What is left (no source
+    that near) is searched breadth-first from its sources, a hop a round, until
+    every candidate is met or no new node is reached.
     """
-    edges = undirected(kg).select("src", "dst").distinct()
-    start = pairs.select(_node("movie", F.col("source")).alias("s"), _node("movie", F.col("item_id")).alias("t")).distinct()
-    sources = start.select(F.col("s").alias("root")).distinct().withColumn("node", F.col("root")).withColumn("d", F.lit(0))
-    reached, edge = sources, sources
-    for k in range(1, limit // 2 + limit % 2 + 1):
-        nxt = edge.join(edges, edge.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        edge = store(nxt.join(reached, ["root", "node"], "left_anti").withColumn("d", F.lit(k)), "hop")
-        reached = reached.unionByName(edge)
-    targets = start.select(F.col("t").alias("root")).distinct().withColumn("node", F.col("root")).withColumn("d", F.lit(0))
-    back, edge = targets, targets
-    for k in range(1, limit // 2 + 1):
-        nxt = edge.join(edges, edge.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        edge = store(nxt.join(back, ["root", "node"], "left_anti").withColumn("d", F.lit(k)), "hop")
-        back = back.unionByName(edge)
-    a = start.join(reached.select(F.col("root").alias("s"), "node", F.col("d").alias("ds")), "s")
-    met = a.join(back.select(F.col("root").alias("t"), "node", F.col("d").alias("dt")), ["t", "node"])
-    hops = met.groupBy("s", "t").agg(F.min(F.col("ds") + F.col("dt")).alias("h")).filter(F.col("h") <= limit)
-    named = pairs.withColumn("s", _node("movie", F.col("source"))).withColumn("t", _node("movie", F.col("item_id")))
-    return named.join(hops, ["s", "t"], "left").groupBy("user_id", "item_id").agg(F.min("h").alias("hops"))
+    named = _ends(pairs.select("user_id", "item_id", "source"))
+    near = _with_links(named.select("s", "t").distinct(), _small(item_links(kg), ["links"]))
+
+    def mids(c: str):
+        return F.transform(c, lambda x: x["mid"])
+
+    told = near.select(
+        "s", "t", F.when(F.col("s") == F.col("t"), 0).when(F.array_contains(mids("ls"), F.col("t")), 1).when(F.arrays_overlap(mids("ls"), mids("lt")), 2).alias("h")
+    )
+    hops = store(named.join(told, ["s", "t"]).groupBy("user_id", "item_id").agg(F.min("h").alias("hops")), "hops")
+    done, left = hops.filter("hops IS NOT NULL"), hops.filter("hops IS NULL").select("user_id", "item_id")
+    open_ = store(named.join(left, ["user_id", "item_id"], "left_semi").select("user_id", "item_id", "s", "t"), "open")
+    edges = store(undirected(kg).select("src", "dst").distinct(), "edges") if not open_.isEmpty() else None
+    edge = reached = open_.select(F.col("s").alias("root"), F.col("s").alias("node")).distinct()
+    depth = 0
+    while edges is not None:
+        depth += 1
+        step = edge.join(edges, edge.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
+        edge = store(step.join(reached, ["root", "node"], "left_anti"), "frontier")
+        met = open_.join(edge, (open_.s == edge.root) & (open_.t == edge.node), "left_semi").select("user_id", "item_id").distinct()
+        met = store(met.withColumn("hops", F.lit(depth)), "met")
+        done = done.unionByName(met)
+        open_ = store(open_.join(met, ["user_id", "item_id"], "left_anti"), "open")
+        if open_.isEmpty() or edge.isEmpty():
+            break
+        roots = open_.select(F.col("s").alias("root")).distinct()
+        edge, reached = edge.join(roots, "root", "left_semi"), store(reached.unionByName(edge).join(roots, "root", "left_semi"), "reached")
+    never = open_.select("user_id", "item_id").distinct().withColumn("hops", F.lit(None).cast("int"))
+    return done.unionByName(never)
 
 
 def two_hop_paths(kg: DataFrame, pairs: DataFrame, per_pair: int = 5) -> DataFrame:
     """(user_id, item_id, source, rel1, mid, rel2, n): simple paths of one or two hops.
 
     Paths follow the history from old to new (``age`` of ``pairs``), direct edges
-    first, then the middle node's name; ``per_pair`` of them stay.
+    first, then the middle node's name; ``per_pair`` of them stay.  Each distinct
+    pair of ends is searched once, by intersecting the ends' own links.
     """
-    e = undirected(kg)
-    named = pairs.select("user_id", "item_id", "source", "age", _node("movie", F.col("source")).alias("s"), _node("movie", F.col("item_id")).alias("t")).filter("s <> t")
-    one = named.join(e.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("relation").alias("rel1")), ["s", "t"]).withColumn("mid", F.lit(None).cast("string")).withColumn("rel2", F.lit(None).cast("string"))
-    first = e.select(F.col("src").alias("s"), F.col("relation").alias("rel1"), F.col("dst").alias("mid"))
-    second = e.select(F.col("src").alias("mid"), F.col("relation").alias("rel2"), F.col("dst").alias("t"))
-    # The ends meet in the middle: (s, mid) of each pair joins (mid, t) on both keys.
-    two = named.join(first, "s").join(second, ["mid", "t"]).filter("mid <> s AND mid <> t")
-    cols = ["user_id", "item_id", "source", "age", "rel1", "mid", "rel2"]
-    w = Window.partitionBy("user_id", "item_id").orderBy(F.desc("age"), F.col("mid").isNotNull(), "mid", "rel1", "rel2")
-    return one.select(cols).unionByName(two.select(cols)).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_pair).drop("age")
-
-
-def shared_entities(kg: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(user_id, item_id, n_actors, n_directors, n_genres, n_decade, n_co_liked, n_history) of (user_id, item_id, source)."""
-    e = undirected(kg)
-    named = pairs.select("user_id", "item_id", "source", _node("movie", F.col("source")).alias("s"), _node("movie", F.col("item_id")).alias("t"))
-    cand = e.filter("relation <> 'co_liked'").select(F.col("src").alias("t"), F.col("relation").alias("rel"), F.col("dst").alias("x"))
-    hist = e.filter("relation <> 'co_liked'").select(F.col("src").alias("s"), F.col("relation").alias("rel"), F.col("dst").alias("x"))
-    common = named.join(cand, "t").join(hist, ["s", "rel", "x"])
-
-    def distinct_of(rel: str, column: str, name: str):
-        return F.count_distinct(F.when(F.col("rel") == rel, F.col(column))).alias(name)
-
-    shared = common.groupBy("user_id", "item_id").agg(
-        distinct_of("acted_by", "x", "n_actors"), distinct_of("directed_by", "x", "n_directors"),
-        distinct_of("has_genre", "x", "n_genres"), distinct_of("released_in_decade", "source", "n_decade"),
-    )
-    liked = e.filter("relation = 'co_liked'").select(F.col("src").alias("s"), F.col("dst").alias("t"))
-    co = named.join(liked, ["s", "t"]).groupBy("user_id", "item_id").agg(F.count_distinct("source").alias("n_co_liked"))
-    n = pairs.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n_history"))
-    return n.join(shared, ["user_id", "item_id"], "left").join(co, ["user_id", "item_id"], "left").na.fill(0)
+    named = _ends(pairs.select("user_id", "item_id", "source", "age")).filter("s <> t")
+    ends = _with_links(named.select("s", "t").distinct(), _small(item_links(kg), ["links"]))
+    path = "struct<mid:string,rel1:string,rel2:string>"
+    direct = F.transform(
+        F.filter("ls", lambda x: x["mid"] == F.col("t")), lambda x: F.struct(F.lit(None).cast("string").alias("mid"), x["rel"].alias("rel1"), F.lit(None).cast("string").alias("rel2"))
+    )
+    common = F.array_intersect(F.transform("ls", lambda x: x["mid"]), F.transform("lt", lambda x: x["mid"]))
+    middle = F.slice(F.array_sort(F.array_except(common, F.array("s", "t"))), 1, per_pair)  # each gives a path at least
+    second = F.flatten(
+        F.transform(
+            "middle",
+            lambda m: F.flatten(
+                F.transform(
+                    F.filter("ls", lambda x: x["mid"] == m),
+                    lambda x: F.transform(F.filter("lt", lambda y: y["mid"] == m), lambda y: F.struct(m.alias("mid"), x["rel"].alias("rel1"), y["rel"].alias("rel2"))),
+                )
+            ),
+        )
+    )
+    both = F.concat(F.array_sort(direct.cast(f"array<{path}>")), F.array_sort(second.cast(f"array<{path}>")))
+    found = ends.withColumn("middle", middle).select("s", "t", F.slice(both, 1, per_pair).alias("paths")).filter(F.size("paths") > 0)
+    rows = named.join(found, ["s", "t"]).select("user_id", "item_id", "source", "age", F.posexplode("paths").alias("p", "x"))
+    w = Window.partitionBy("user_id", "item_id").orderBy(F.desc("age"), "p")
+    return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_pair).select("user_id", "item_id", "source", "x.rel1", "x.mid", "x.rel2", "n")
 
 
-def pairwise(kg: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Eight features of item pairs (a, b).
+def shared_entities(kg: DataFrame, candidates: DataFrame, history: DataFrame) -> DataFrame:
+    """(user_id, item_id, n_history, n_actors, n_directors, n_genres, n_decade, n_co_liked).
 
-    Shared entities come from one join of both items' entity lists; the IDF sums
-    ride along.
+    ``candidates`` (user_id, item_id), ``history`` (user_id, source).  A user's
+    history is one row of links, which each candidate's own links intersect.
     """
-    idf = entity_idf(kg)
-    e = undirected(kg).filter("relation <> 'co_liked'").join(idf.select(F.col("entity").alias("dst"), "idf"), "dst").select("src", "relation", "dst", "idf")
+    links = _small(item_links(kg), ["links"])
+    own = history.select("user_id", "source", _node("movie", F.col("source")).alias("node")).join(links, "node", "left")
+    none = F.array().cast("array<struct<mid:string,rel:string>>")
+    users = own.groupBy("user_id").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.coalesce("links", none)))).alias("known"),
+        F.collect_set("node").alias("nodes"), F.count(F.lit(1)).alias("n_history"),
+        F.collect_set(F.struct("node", F.filter(F.coalesce("links", none), lambda x: x["rel"] == "released_in_decade").alias("decades"))).alias("dated"),
+    )
+    rows = candidates.select("user_id", "item_id", _node("movie", F.col("item_id")).alias("node")).join(users, "user_id")
+    rows = rows.join(links.select("node", F.col("links").alias("mine")), "node", "left").withColumn("mine", F.coalesce("mine", none))
+    shared = F.array_intersect("mine", "known")
+
+    def of(rel: str, name: str):
+        return F.size(F.filter("shared", lambda x: x["rel"] == rel)).cast("bigint").alias(name)
+
+    liked = F.transform(F.filter("mine", lambda x: x["rel"] == "co_liked"), lambda x: x["mid"])
+    return rows.withColumn("shared", shared).select(
+        "user_id", "item_id", "n_history", of("acted_by", "n_actors"), of("directed_by", "n_directors"), of("has_genre", "n_genres"),
+        F.size(F.filter("dated", lambda d: F.arrays_overlap(d["decades"], F.col("mine")))).cast("bigint").alias("n_decade"),
+        F.size(F.array_intersect(liked, F.col("nodes"))).cast("bigint").alias("n_co_liked"),
+    )
+
+
+def item_entities(kg: DataFrame) -> DataFrame:
+    """(node, facts array<struct<rel, dst, idf>>, liked array<string>) of each movie node."""
+    both = undirected(kg).filter(F.col("src").startswith("movie_"))
+    idf = entity_idf(kg).select(F.col("entity").alias("dst"), "idf")
+    rows = both.join(idf, "dst", "left")
+    fact = F.when((F.col("relation") != "co_liked") & F.col("idf").isNotNull(), F.struct(F.col("relation").alias("rel"), "dst", "idf"))
+    return rows.groupBy(F.col("src").alias("node")).agg(F.collect_list(fact).alias("facts"), F.collect_set(F.when(F.col("relation") == "co_liked", F.col("dst"))).alias("liked"))
+
+
+def pairwise(kg: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Eight features of item pairs (a, b), from the intersection of the two items' own facts."""
+    items = _small(item_entities(kg), ["facts", "liked"])
     wanted = pairs.select("a", "b").distinct().withColumn("s", _node("movie", F.col("a"))).withColumn("t", _node("movie", F.col("b")))
-    left = wanted.join(e.withColumnRenamed("src", "s"), "s")
-    common = left.join(e.select(F.col("src").alias("t"), "relation", "dst"), ["t", "relation", "dst"])
+    left = items.select(F.col("node").alias("s"), F.col("facts").alias("fs"), "liked")
+    right = items.select(F.col("node").alias("t"), F.col("facts").alias("ft"))
+    none = F.array().cast("array<struct<rel:string,dst:string,idf:double>>")
+    rows = wanted.join(left, "s", "left").join(right, "t", "left").withColumn("common", F.coalesce(F.array_intersect("fs", "ft"), none))
+
+    def of(rel: str):
+        return F.filter("common", lambda x: x["rel"] == rel)
+
+    def count(rel: str, name: str):
+        return F.size(of(rel)).cast("bigint").alias(name)
+
+    def weight(rel: str, name: str):
+        return F.aggregate(of(rel), F.lit(0.0), lambda acc, x: acc + x["idf"]).alias(name)
 
-    def of(rel: str, what):
-        return F.sum(F.when(F.col("relation") == rel, what))
+    def any_(rel: str, name: str):
+        return (F.size(of(rel)) > 0).cast("bigint").alias(name)
 
-    feats = common.groupBy("a", "b").agg(
-        of("acted_by", F.lit(1)).alias("shared_actor_count"), F.max((F.col("relation") == "directed_by").cast("int")).alias("same_director"),
-        of("has_genre", F.lit(1)).alias("same_genre_count"), of("acted_by", F.col("idf")).alias("shared_actor_idf"),
-        of("directed_by", F.col("idf")).alias("same_director_idf"), of("has_genre", F.col("idf")).alias("same_genre_idf"),
-        F.max((F.col("relation") == "released_in_decade").cast("int")).alias("same_decade"),
+    return rows.select(
+        "a", "b", count("acted_by", "shared_actor_count"), any_("directed_by", "same_director"), count("has_genre", "same_genre_count"), any_("released_in_decade", "same_decade"),
+        F.coalesce(F.array_contains("liked", F.col("t")), F.lit(False)).cast("bigint").alias("co_liked"),
+        weight("acted_by", "shared_actor_idf"), weight("directed_by", "same_director_idf"), weight("has_genre", "same_genre_idf"),
     )
-    liked = undirected(kg).filter("relation = 'co_liked'").select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct().withColumn("co_liked", F.lit(1))
-    co = wanted.join(liked, ["s", "t"]).select("a", "b", "co_liked")
-    counts = ["shared_actor_count", "same_director", "same_genre_count", "same_decade", "co_liked"]
-    sums = ["shared_actor_idf", "same_director_idf", "same_genre_idf"]
-    out = wanted.select("a", "b").join(feats, ["a", "b"], "left").join(co, ["a", "b"], "left")
-    return out.select("a", "b", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sums])
 
 
 def user_candidate_features(kg: DataFrame, candidates: DataFrame, history: DataFrame) -> DataFrame:

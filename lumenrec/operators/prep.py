@@ -12,7 +12,7 @@ def positive(df: DataFrame, least: int = 4) -> DataFrame:
     return df.filter(F.col("rating") >= least)
 
 
-def k_core(df: DataFrame, user_min: int = 10, item_min: int = 5, max_rounds: int = 100) -> DataFrame:
+def k_core(df: DataFrame, user_min: int = 10, item_min: int = 5) -> DataFrame:
     """Users with ``user_min`` rows, then items with ``item_min``, until nothing changes.
 
     Each round is written to the shared folder: the plan stays short, and a lost
@@ -20,7 +20,7 @@ def k_core(df: DataFrame, user_min: int = 10, item_min: int = 5, max_rounds: int
     """
     now = store(df, "k-core")
     size = now.count()
-    for _ in range(max_rounds):
+    while True:  # rows only go, so the fixpoint comes
         users = now.groupBy("user_id").count().filter(F.col("count") >= user_min).select("user_id")
         step = now.join(users, "user_id", "left_semi")
         items = step.groupBy("item_id").count().filter(F.col("count") >= item_min).select("item_id")
@@ -28,7 +28,6 @@ def k_core(df: DataFrame, user_min: int = 10, item_min: int = 5, max_rounds: int
         before, size = size, now.count()
         if size == before:
             return now
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
 def time_split(df: DataFrame, train: float = 0.7, val: float = 0.1) -> DataFrame:

@@ -197,7 +197,7 @@ def rouge_l(explanation: Column, evidence: Column) -> Column:
 
 def semantic_similarity(pairs: DataFrame, key: list[str]) -> DataFrame:
     """Mean cosine of ``vector`` with each of ``evidence_vectors``, per row of (key, vector, evidence_vectors)."""
-    cos = F.transform("evidence_vectors", lambda e: V.dot(V.unit(F.col("vector")), V.unit(e)))
+    cos = F.transform(F.array(V.unit(F.col("vector"))), lambda u: F.transform("evidence_vectors", lambda e: V.dot(u, V.unit(e))))[0]
     mean = F.aggregate(cos, F.lit(0.0), lambda s, x: s + x) / F.size(cos)
     return pairs.select(*key, F.when(F.size(cos) > 0, mean).otherwise(F.lit(0.0)).alias("semantic_sim"))
 
@@ -261,7 +261,7 @@ def evaluate(records: DataFrame) -> DataFrame:
     scored = bertscore(rows.select("user_id", "movie_id", "condition", "explanation", "evidence"))
     vec = scored.select("*", hashed_vectors(F.concat(F.array(F.coalesce("explanation", F.lit(""))), "evidence")).alias("v"))
     vec = vec.withColumn("v", F.transform("v", lambda e: V.unit(e))).withColumn("ev", F.slice("v", 2, F.size("v")))
-    cos = F.transform("ev", lambda e: V.dot(F.col("v")[0], e))
+    cos = F.transform(F.array(F.col("v")[0]), lambda u: F.transform("ev", lambda e: V.dot(u, e)))[0]
     sem = F.aggregate(cos, F.lit(0.0), lambda s, x: s + x) / F.size(cos)
     return vec.select(
         "user_id", "movie_id", "condition", "explanation", F.round(overlap(F.col("explanation"), F.col("evidence")), 4).alias("evidence_overlap"),

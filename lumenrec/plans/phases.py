@@ -61,8 +61,8 @@ def explain_top(spark: SparkSession, data: str, out: str, mode: str = "kg_only",
     used = explain.bundle(F.lit(None).cast(explain.EVIDENCE), explain.kg_evidence(F.col("texts"), F.col("movie_id")), mode)
     asked = rows.withColumn("evidence_used", used).join(prep.histories(train, 10), "user_id")
     shown = F.transform("history", lambda h: F.concat(F.lit("Movie "), h.cast("string")))
-    ready = asked.select("user_id", "movie_id", "movie_title", F.lit(explain.primary_mode(mode)).alias("mode"), "evidence_used", F.lit(explain.RAG_SYSTEM).alias("system"), explain.rag_prompt(shown, F.col("movie_title"), F.col("evidence_used")).alias("prompt"))
-    path = f"{out}/explanations_{explain.primary_mode(mode)}"
+    ready = asked.select("user_id", "movie_id", "movie_title", F.lit(explain.mode(mode).table).alias("mode"), "evidence_used", F.lit(explain.RAG_SYSTEM).alias("system"), explain.rag_prompt(shown, F.col("movie_title"), F.col("evidence_used")).alias("prompt"))
+    path = f"{out}/explanations_{explain.mode(mode).table}"
     done = readers.optional(spark, path)
     todo = ready if done is None else explain.pending(ready, done)
     explain.generate(todo, backend or explain.TemplateBackend()).write.mode("append").parquet(path)
@@ -71,7 +71,7 @@ def explain_top(spark: SparkSession, data: str, out: str, mode: str = "kg_only",
 
 def evaluate(spark: SparkSession, out: str, mode: str = "kg_only") -> str:
     """Scores E1 to E4 of a mode's explanations; returns the Markdown report."""
-    base = readers.required(spark, explain.reference_path(spark, out) or f"{out}/explanations_{explain.primary_mode(mode)}")
+    base = readers.required(spark, explain.reference_path(spark, out) or f"{out}/explanations_{explain.mode(mode).table}")
     records = base.select("user_id", "movie_id", "explanation", "evidence_used").withColumn("reference_evidence", F.col("evidence_used"))
     backend, parts = explain.TemplateBackend(), None
     for condition in ("E1", "E2", "E3", "E4"):
@@ -100,7 +100,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--data", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--phase", default="all", choices=("all", *PHASES))
-    p.add_argument("--mode", default="kg_only", choices=sorted(explain.PRIMARY_MODE))
+    p.add_argument("--mode", default="kg_only", choices=sorted(explain.MODES))
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.phase in ("all", "recommend"):

@@ -1,7 +1,7 @@
 """Tables in the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names it; a temporary folder stands in only where that
-is unset, as in tests.
+is unset and all runs in one process, as in tests.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ def root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return f"{named.rstrip('/')}/lumenrec-tables-{app}"
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if app not in _TEMPORARY:
         _TEMPORARY[app] = "file://" + tempfile.mkdtemp(prefix="lumenrec-tables-")
     return _TEMPORARY[app]

@@ -110,6 +110,11 @@ def test_e1_e3_e4(spark):
         assert len(r.evidence_used) == 4 and all(e.movie_id != r.movie_id and e.score == 0 for e in r.evidence_used)
     for r in explain.perturb(df, "E4", "kg_only").collect():
         assert all(e.movie_id != r.movie_id for e in r.evidence_used)
+    lone = spark.createDataFrame([(k, 3 if k < 197 else 5, f"c{k}", "s") for k in range(200)], "doc_id bigint, movie_id bigint, text string, source string")
+    got = {r.user_id: [e.doc_id for e in r.evidence_used] for r in explain.perturb(df, "E4", "retrieval_only", lone).collect()}
+    assert all(len(set(v)) == 4 for u, v in got.items() if u != 3) and sorted(got[3]) == [197, 198, 199]  # found although rare
+    none = explain.perturb(df, "E4", "retrieval_only", lone.limit(0))
+    assert [len(r.evidence_used) for r in none.collect()] == [0] * 7
     for bad in (("E9", "hybrid"), ("E1", "other"), ("E4", "hybrid")):
         with pytest.raises(ValueError):
             explain.perturb(df, *bad)
@@ -125,7 +130,7 @@ def test_bundle_order(spark, mode, want):
 
 
 def test_modes_and_reference_files(spark, tmp_path):
-    assert [explain.primary_mode(m) for m in ("hybrid", "kg_only", "retrieval_only")] == ["rag", "kg_only", "retrieval_only"]
+    assert [explain.mode(m).table for m in ("hybrid", "kg_only", "retrieval_only")] == ["rag", "kg_only", "retrieval_only"]
     df = spark.createDataFrame([(1,)], "user_id bigint")
     d = str(tmp_path)
     assert explain.reference_path(spark, d) is None
@@ -137,12 +142,12 @@ def test_modes_and_reference_files(spark, tmp_path):
 
 def test_kg_only_filter(spark):
     recs = spark.createDataFrame([(1, 2), (1, 3)], "user_id bigint, movie_id bigint")
-    kept, skipped = explain.pairs_with_paths(recs, recs.limit(1), "kg_only")
+    kept, skipped = explain.explainable(recs, recs.limit(1), "kg_only")
     assert kept.count() == 1 and skipped == 1
-    assert explain.pairs_with_paths(recs, recs.limit(0), "hybrid")[1] == 0
+    assert explain.explainable(recs, recs.limit(0), "hybrid")[1] == 0
     for paths in (recs.limit(0), recs.selectExpr("user_id + 5 AS user_id", "movie_id")):
         with pytest.raises(ValueError):
-            explain.pairs_with_paths(recs, paths, "kg_only")
+            explain.explainable(recs, paths, "kg_only")
 
 
 def test_path_sentences(spark):
@@ -157,11 +162,11 @@ def test_prompts_generate_and_resume(spark, tmp_path):
     ev = F.array(F.struct(F.lit("First fact.").alias("text")), F.struct(F.lit("Second.").alias("text")))
     df = spark.createDataFrame([(1, 2), (1, 3)], "user_id bigint, movie_id bigint").withColumn("system", F.lit(explain.RAG_SYSTEM))
     df = df.withColumn("prompt", explain.rag_prompt(F.array(F.lit("Old")), F.lit("New"), ev))
-    assert "[1] First fact.\n[2] Second." in df.first().prompt and "- Old" in df.first().prompt
+    assert "(1) First fact.\n(2) Second." in df.first().prompt and '"Old"' in df.first().prompt
     out = explain.generate(df, explain.TemplateBackend()).collect()
     assert len(out) == 2 and "First fact." in out[0].explanation
     plain = one(spark, explain.plain_prompt(F.array(F.lit("Old")), F.lit("New"), F.array(F.lit("A"), F.lit("B"))))
-    assert "New (A, B)" in plain and "Evidence" not in plain
+    assert "New (A, B)" in plain and "passages" not in plain
     src, res, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     df.limit(1).write.parquet(src)
     for _ in range(2):

@@ -115,8 +115,11 @@ def test_pairwise_and_user_features(spark):
 def test_paths(spark):
     g = kg(spark)
     pairs = spark.createDataFrame([(1, 3, 1, 1), (1, 4, 1, 1), (1, 4, 3, 2)], "user_id bigint, item_id bigint, source bigint, age int")
-    hops = {r.item_id: r.hops for r in graph.path_lengths(g, pairs, 4).collect()}
+    hops = {r.item_id: r.hops for r in graph.path_lengths(g, pairs).collect()}
     assert hops == {3: 1, 4: 2}
+    chain = spark.createDataFrame([(f"movie_{k}", "co_liked", f"movie_{k + 1}") for k in range(20, 31)] + [("movie_50", "co_liked", "movie_51")], "head string, relation string, tail string")
+    far = spark.createDataFrame([(1, 31, 20), (1, 31, 22), (1, 51, 20), (2, 23, 23), (2, 28, 23), (3, 77, 20)], "user_id bigint, item_id bigint, source bigint")
+    assert {(r.user_id, r.item_id): r.hops for r in graph.path_lengths(chain, far).collect()} == {(1, 31): 9, (1, 51): None, (2, 23): 0, (2, 28): 5, (3, 77): None}
     rows = graph.two_hop_paths(g, pairs).collect()
     assert {(r.item_id, r.source, r.mid) for r in rows} == {(3, 1, None), (4, 1, "genre_g")}
 
