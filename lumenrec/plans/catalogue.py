@@ -6,7 +6,7 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrec.functions import metrics, stats
@@ -73,8 +73,8 @@ def _kg(s, d):
     return stored(s, d, "kg", lambda: graph.triples(X.metadata(s, d), X.train(s, d), CO_LIKED))
 
 
-def _cand10(s, d):
-    return _cf(s, d).filter("rank <= 10").select("user_id", "item_id")
+def _candidates(s, d):
+    return _merged(s, d).select("user_id", "item_id")
 
 
 def _history(s, d):
@@ -82,7 +82,7 @@ def _history(s, d):
 
 
 def _hist_pairs(s, d):
-    return _cand10(s, d).join(_history(s, d), "user_id")
+    return _candidates(s, d).join(_history(s, d), "user_id")
 
 
 # ---------------------------------------------------------------- ingest
@@ -232,35 +232,43 @@ def kg_bfs_2hop(s, d):
 
 
 def _path_pairs(s, d):
-    """The best candidate of each user with the ten newest items."""
-    best = _cf(s, d).filter("rank = 1").select("user_id", "item_id")
+    """The ten recommendations of each user with the ten newest items."""
+    best = _merged(s, d).filter("rank <= 10").select("user_id", "item_id")
     return best.join(_history(s, d).filter("age <= 10"), "user_id")
 
 
-@query(with_("cf hist20 und", """, e AS (SELECT DISTINCT src, dst FROM und), p AS (SELECT c.user_id, c.item_id, h.item_id AS source FROM cf c JOIN hist20 h USING (user_id) WHERE c.rank = 1 AND h.age <= 10),
-st AS (SELECT DISTINCT 'movie_' || source AS s, 'movie_' || item_id AS t FROM p),
-f1 AS (SELECT DISTINCT s AS root, dst AS node FROM (SELECT DISTINCT s FROM st) JOIN e ON src = s),
-b1 AS (SELECT DISTINCT t AS root, dst AS node FROM (SELECT DISTINCT t FROM st) JOIN e ON src = t),
-h1 AS (SELECT s, t, 1 AS h FROM st JOIN e ON src = s AND dst = t),
-h2 AS (SELECT s, t, 2 AS h FROM st JOIN f1 ON f1.root = s JOIN b1 ON b1.root = t AND b1.node = f1.node GROUP BY 1, 2),
-al AS (SELECT s, t, min(h) AS h FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT s, t, 0 FROM st WHERE s = t) GROUP BY 1, 2)
-SELECT user_id, item_id, min(h) AS hops FROM p LEFT JOIN al ON s = 'movie_' || source AND t = 'movie_' || item_id GROUP BY 1, 2"""))
+def _oldest_pairs(s, d):
+    """The ten recommendations with the first ten of the last twenty items."""
+    best = _merged(s, d).filter("rank <= 10").select("user_id", "item_id")
+    place = F.count(F.lit(1)).over(Window.partitionBy("user_id")) - F.col("age")  # 0 is the oldest of the window
+    return best.join(_history(s, d).withColumn("place", place).filter("place < 10"), "user_id")
+
+
+@query(with_("merged hist20 und", """, e AS (SELECT DISTINCT src, dst FROM und), h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY age DESC) AS place FROM hist20),
+p AS (SELECT c.user_id, c.item_id, 'movie_' || h.item_id AS s, 'movie_' || c.item_id AS t FROM merged c JOIN h USING (user_id) WHERE c.rank <= 10 AND h.place <= 10),
+st AS (SELECT DISTINCT s, t FROM p), f1 AS (SELECT DISTINCT s, dst AS node FROM (SELECT DISTINCT s FROM st) JOIN e ON src = s), b1 AS (SELECT DISTINCT t, dst AS node FROM (SELECT DISTINCT t FROM st) JOIN e ON src = t),
+near AS (SELECT s, t, min(h) AS h FROM (SELECT s, t, 0 AS h FROM st WHERE s = t UNION ALL SELECT s, t, 1 FROM st JOIN e ON src = s AND dst = t UNION ALL SELECT s, t, 2 FROM st JOIN f1 USING (s) JOIN b1 USING (t, node)) GROUP BY 1, 2),
+told AS (SELECT user_id, item_id, min(h) AS hops FROM p LEFT JOIN near USING (s, t) GROUP BY 1, 2), far AS (SELECT user_id, item_id, s, t FROM p JOIN told USING (user_id, item_id) WHERE hops IS NULL),
+bfs AS (SELECT DISTINCT s AS root, s AS node, 0 AS d FROM far UNION SELECT b.root, e.dst, b.d + 1 FROM bfs b JOIN e ON e.src = b.node WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.root = b.root AND r.node = e.dst)),
+late AS (SELECT user_id, item_id, min(d) AS hops FROM far JOIN bfs ON root = s AND node = t GROUP BY 1, 2)
+SELECT user_id, item_id, coalesce(told.hops, late.hops) AS hops FROM told LEFT JOIN late USING (user_id, item_id)""").replace("bfs AS (", "bfs(root, node, d) USING KEY (root, node) AS (").replace("WITH ", "WITH RECURSIVE ", 1))
 def kg_shortest_path_len(s, d):
-    return graph.path_lengths(_kg(s, d), _path_pairs(s, d), 2)
+    return graph.path_lengths(_kg(s, d), _oldest_pairs(s, d))
 
 
-_PATHS = """, p AS (SELECT c.user_id, c.item_id, h.item_id AS source, h.age, 'movie_' || h.item_id AS s, 'movie_' || c.item_id AS t FROM cf c JOIN hist20 h USING (user_id) WHERE c.rank = 1 AND h.age <= 10 AND h.item_id <> c.item_id),
-pa AS (SELECT p.*, x.relation AS rel1, NULL AS mid, NULL AS rel2 FROM p JOIN und x ON x.src = s AND x.dst = t
-UNION ALL SELECT p.*, x.relation, x.dst, y.relation FROM p JOIN und x ON x.src = s JOIN und y ON y.src = x.dst AND y.dst = t WHERE x.dst <> s AND x.dst <> t),
-paths AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY age DESC, mid IS NOT NULL, mid, rel1, rel2) AS n FROM pa) WHERE n <= 5) """
+_PATHS = """, p AS (SELECT c.user_id, c.item_id, h.item_id AS source, h.age, 'movie_' || h.item_id AS s, 'movie_' || c.item_id AS t FROM merged c JOIN hist20 h USING (user_id) WHERE c.rank <= 10 AND h.age <= 10 AND h.item_id <> c.item_id),
+st AS (SELECT DISTINCT s, t FROM p),
+pa AS (SELECT st.*, x.relation AS rel1, NULL AS mid, NULL AS rel2 FROM st JOIN und x ON x.src = s AND x.dst = t
+UNION ALL SELECT st.*, x.relation, x.dst, y.relation FROM st JOIN und x ON x.src = s JOIN und y ON y.src = x.dst AND y.dst = t WHERE x.dst <> s AND x.dst <> t),
+paths AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY age DESC, mid IS NOT NULL, mid, rel1, rel2) AS n FROM p JOIN pa USING (s, t)) WHERE n <= 5) """
 
 
-@query(with_("cf hist20 und", _PATHS + "SELECT user_id, item_id, source, rel1, mid, rel2, n FROM paths"))
+@query(with_("merged hist20 und", _PATHS + "SELECT user_id, item_id, source, rel1, mid, rel2, n FROM paths"))
 def kg_paths_2hop(s, d):
     return graph.two_hop_paths(_kg(s, d), _path_pairs(s, d))
 
 
-@query(with_("cf hist20 und", _PATHS + """SELECT user_id, item_id, n, CASE
+@query(with_("merged hist20 und", _PATHS + """SELECT user_id, item_id, n, CASE
 WHEN rel2 IS NULL THEN '''' || st.p_name || ''' connects to ''' || tt.p_name || ''' via ' || replace(rel1, '_', ' ') || '.'
 WHEN rel1 = 'has_genre' AND rel2 = 'has_genre' THEN '''' || st.p_name || ''' and ''' || tt.p_name || ''' both belong to the ' || substr(mid, 7) || ' genre.'
 WHEN rel1 = 'co_liked' AND rel2 = 'co_liked' THEN 'Users who watched ''' || st.p_name || ''' also frequently watched ''' || mt.p_name || ''', and fans of ''' || mt.p_name || ''' often enjoy ''' || tt.p_name || ''' as well.'
@@ -286,7 +294,7 @@ n AS (SELECT user_id, item_id, count(*) AS n_history FROM hp GROUP BY 1, 2)
 SELECT user_id, item_id, n_history, coalesce(n_actors, 0) AS n_actors, coalesce(n_directors, 0) AS n_directors, coalesce(n_genres, 0) AS n_genres, coalesce(n_decade, 0) AS n_decade, coalesce(n_co_liked, 0) AS n_co_liked
 FROM n LEFT JOIN c USING (user_id, item_id) LEFT JOIN l USING (user_id, item_id)"""))
 def shared_entity_explain(s, d):
-    return graph.shared_entities(_kg(s, d), _hist_pairs(s, d))
+    return graph.shared_entities(_kg(s, d), _candidates(s, d), _history(s, d))
 
 
 _PF = "a, b, shared_actor_count, same_director, same_genre_count, same_decade, co_liked"
@@ -304,7 +312,7 @@ _KGD = "kg_shared_actor_idf_sum, kg_same_director_idf_max, kg_same_genre_idf_sum
 
 
 def _kg_features(s, d):
-    return stored(s, d, "kg-features", lambda: graph.user_candidate_features(_kg(s, d), _cand10(s, d), _history(s, d)))
+    return stored(s, d, "kg-features", lambda: graph.user_candidate_features(_kg(s, d), _candidates(s, d), _history(s, d)))
 
 
 @query(with_("kgf", f"SELECT user_id, item_id, {', '.join(_KGI)}, {', '.join(f'round({c}, 6) AS {c}' for c in _KGD)} FROM kgf"))
@@ -322,9 +330,9 @@ def mips_topk(s, d):
     return V.top_inner_products(asked, units, 10).select("q", "item_id", r6("score", "score"), "rank")
 
 
-@query(with_("cand10 cprof vec", "SELECT c.user_id, c.item_id, round(coalesce(list_inner_product(m, u), 0.0), 6) + 0.0 AS content_similarity FROM cand10 c LEFT JOIN cprof USING (user_id) LEFT JOIN vec USING (item_id)"))
+@query(with_("cands cprof vec", "SELECT c.user_id, c.item_id, round(coalesce(list_inner_product(m, u), 0.0), 6) + 0.0 AS content_similarity FROM cands c LEFT JOIN cprof USING (user_id) LEFT JOIN vec USING (item_id)"))
 def content_similarity(s, d):
-    return features.content_similarity(_cand10(s, d), X.train(s, d), X.vectors(s, d)).select("user_id", "item_id", r6("content_similarity", "content_similarity"))
+    return features.content_similarity(_candidates(s, d), X.train(s, d), X.vectors(s, d)).select("user_id", "item_id", r6("content_similarity", "content_similarity"))
 
 
 @query(with_("kgr", "SELECT user_id, item_id, round(score, 6) AS score, rank FROM kgr"))
@@ -332,15 +340,15 @@ def vector_recall_topk(s, d):
     return _kg_route(s, d).filter("rank <= 50").select("user_id", "item_id", r6("score", "score"), "rank")
 
 
-@query(with_("cand10 hist20 vec prof", """, h AS (SELECT user_id, v, u FROM hist20 JOIN vec USING (item_id)),
+@query(with_("cands hist20 vec prof", """, h AS (SELECT user_id, v, u FROM hist20 JOIN vec USING (item_id)),
 mv0 AS (SELECT user_id, p, avg(x) AS x FROM (SELECT user_id, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM h) GROUP BY 1, 2), mv AS (SELECT user_id, list(x ORDER BY p) AS m FROM mv0 GROUP BY 1),
-k AS (SELECT c.user_id, c.item_id, v, u FROM cand10 c JOIN vec USING (item_id)),
+k AS (SELECT c.user_id, c.item_id, v, u FROM cands c JOIN vec USING (item_id)),
 n AS (SELECT k.user_id, k.item_id, min(list_distance(k.v, h.v)) AS mind, max(list_inner_product(k.u, h.u)) AS maxc FROM k JOIN h USING (user_id) GROUP BY 1, 2),
 a AS (SELECT k.user_id, k.item_id, list_distance(k.v, m) AS md, list_inner_product(q, u) AS mc FROM k JOIN mv USING (user_id) JOIN prof USING (user_id))
 SELECT c.user_id, c.item_id, round(coalesce(md, 0.0), 6) + 0.0 AS kg_emb_mean_dist, round(coalesce(mc, 0.0), 6) + 0.0 AS kg_emb_mean_cos, round(coalesce(mind, 0.0), 6) + 0.0 AS kg_emb_min_dist, round(coalesce(maxc, 0.0), 6) + 0.0 AS kg_emb_max_cos
-FROM cand10 c LEFT JOIN n USING (user_id, item_id) LEFT JOIN a USING (user_id, item_id)"""))
+FROM cands c LEFT JOIN n USING (user_id, item_id) LEFT JOIN a USING (user_id, item_id)"""))
 def kg_emb_features(s, d):
-    out = features.embedding_features(_cand10(s, d), X.train(s, d), X.vectors(s, d))
+    out = features.embedding_features(_candidates(s, d), X.train(s, d), X.vectors(s, d))
     return out.select("user_id", "item_id", *[r6(c, c) for c in ("kg_emb_mean_dist", "kg_emb_mean_cos", "kg_emb_min_dist", "kg_emb_max_cos")])
 
 
@@ -418,26 +426,34 @@ def user_train_val_split(s, d):
     return prep.user_hash_split(X.train(s, d))
 
 
-def _assembled(s, d):
-    """The feature frame of each user's ten best CF candidates, with test labels."""
+def _frame(s, d):
+    """The feature frame of all merged candidates."""
 
     def make():
-        cand = _cf(s, d).filter("rank <= 10").select("user_id", "item_id", F.col("score").alias("cf_score"))
+        cand = _merged(s, d).select("user_id", "item_id", "cf_score", F.col("kg_score").alias("kg_recall_score"))
         train, vec = X.train(s, d), X.vectors(s, d)
-        frame = features.assemble(
+        return features.assemble(
             cand, prep.popularity(train), X.metadata(s, d), features.content_similarity(cand, train, vec), _kg_features(s, d), features.embedding_features(cand, train, vec)
         )
-        return recall.label(frame, X.part_of(s, d, "test"))
 
-    return stored(s, d, "assembled", make)
+    return stored(s, d, "frame", make)
+
+
+def _fit_rows(s, d):
+    """Candidates with validation labels and ``is_val`` users: what rankers are fitted on."""
+    return stored(s, d, "fit", lambda: recall.label(_frame(s, d), X.part_of(s, d, "val")).join(prep.user_hash_split(X.train(s, d)), "user_id"))
+
+
+def _test_rows(s, d):
+    return recall.label(_frame(s, d), X.part_of(s, d, "test"))
 
 
-@query(with_("cf pop meta kgf cprof vec gt", """SELECT c.user_id, c.item_id, round(c.score, 6) AS cf_score, coalesce(popularity, 0) AS popularity, coalesce(vote_count, 0) AS vote_count,
+@query(with_("merged pop meta kgf cprof vec gt", """SELECT c.user_id, c.item_id, round(cf_score, 6) AS cf_score, round(kg_score, 6) + 0.0 AS kg_recall_score, coalesce(popularity, 0) AS popularity, coalesce(vote_count, 0) AS vote_count,
 round(coalesce(list_inner_product(m, u), 0.0), 6) + 0.0 AS content_similarity, kg_co_liked_sum, round(kg_same_genre_idf_sum, 6) AS kg_same_genre_idf_sum, CAST(g.item_id IS NOT NULL AS INTEGER) AS label
-FROM (SELECT * FROM cf WHERE rank <= 10) c LEFT JOIN pop USING (item_id) LEFT JOIN meta USING (item_id) LEFT JOIN kgf ON kgf.user_id = c.user_id AND kgf.item_id = c.item_id
+FROM merged c LEFT JOIN pop USING (item_id) LEFT JOIN meta USING (item_id) LEFT JOIN kgf ON kgf.user_id = c.user_id AND kgf.item_id = c.item_id
 LEFT JOIN cprof ON cprof.user_id = c.user_id LEFT JOIN vec ON vec.item_id = c.item_id LEFT JOIN gt g ON g.user_id = c.user_id AND g.item_id = c.item_id"""))
 def feature_assembly(s, d):
-    return _assembled(s, d).select("user_id", "item_id", r6("cf_score", "cf_score"), "popularity", "vote_count", r6("content_similarity", "content_similarity"), "kg_co_liked_sum", r6("kg_same_genre_idf_sum", "kg_same_genre_idf_sum"), "label")
+    return _test_rows(s, d).select("user_id", "item_id", r6("cf_score", "cf_score"), r6("kg_recall_score", "kg_recall_score"), "popularity", "vote_count", r6("content_similarity", "content_similarity"), "kg_co_liked_sum", r6("kg_same_genre_idf_sum", "kg_same_genre_idf_sum"), "label")
 
 
 @query(with_("kgf", " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, count(*) FILTER (WHERE {c} <> 0) AS nonzero FROM kgf" for c in _KGI + _KGD)))
@@ -673,7 +689,7 @@ def _records(s, d):
     return rows.select(F.col("conv_id").alias("user_id"), F.col("last").alias("movie_id"), used.alias("evidence_used"), ref.alias("reference_evidence"))
 
 
-_REC = """it AS (SELECT conv_id, turn, CASE WHEN turn % 3 > 0 THEN 100 - turn END AS doc_id, substr(text, 1, 40) AS text, role, (turn * 7 + conv_id) % 11 / CAST(10.0 AS DOUBLE) AS score FROM conversations)"""
+_REC = """it AS (SELECT conv_id, turn, CASE WHEN turn % 3 > 0 THEN 100 - turn END AS doc_id, text, role, (turn * 7 + conv_id) % 11 / CAST(10.0 AS DOUBLE) AS score FROM conversations)"""
 
 
 @query(f"""WITH {_REC}, src AS (SELECT * FROM it WHERE conv_id % 2 <> 0 OR role = 'assistant' OR conv_id NOT IN (SELECT conv_id FROM it WHERE role = 'assistant'))
@@ -716,11 +732,11 @@ def perturb_e2(s, d):
     return out.select("user_id", F.array_join(F.transform("evidence_used", lambda e: e["movie_id"].cast("string")), ",").alias("kept"))
 
 
-@query(with_("cf hist20 und", _PATHS + "SELECT c.user_id, c.item_id AS movie_id FROM cf c WHERE rank <= 3 AND EXISTS (SELECT 1 FROM paths p WHERE p.user_id = c.user_id AND p.item_id = c.item_id)"))
+@query(with_("merged hist20 und", _PATHS + "SELECT c.user_id, c.item_id AS movie_id FROM merged c WHERE rank <= 10 AND EXISTS (SELECT 1 FROM paths p WHERE p.user_id = c.user_id AND p.item_id = c.item_id)"))
 def kg_only_filter(s, d):
     paths = graph.two_hop_paths(_kg(s, d), _path_pairs(s, d)).select("user_id", F.col("item_id").alias("movie_id"))
-    recs = _cf(s, d).filter("rank <= 3").select("user_id", F.col("item_id").alias("movie_id"))
-    return explain.pairs_with_paths(recs, store(paths, "paths"), "kg_only")[0]
+    recs = _merged(s, d).filter("rank <= 10").select("user_id", F.col("item_id").alias("movie_id"))
+    return explain.explainable(recs, paths, "kg_only")[0]
 
 
 @query(with_("turnp", "SELECT user_id, movie_id FROM turnp WHERE user_id % 3 <> 0"))
@@ -735,23 +751,32 @@ def faithfulness_summary(s, d):
     return text.summarise(rows.select("condition", "evidence_overlap"))
 
 
-# ---------------------------------------------------------------- rows only: seeded, iterative or Arrow
+_HASH = "CAST('0x' || substr(md5(%s || ':42'), 1, 8) AS BIGINT)"
 
 
-@query()
+@query(f"""WITH {_REC}, l AS (SELECT conv_id, max(turn) AS last FROM it GROUP BY 1), o AS (SELECT it.conv_id, turn, row_number() OVER (PARTITION BY it.conv_id ORDER BY turn) - 1 AS i, last FROM it JOIN l ON l.conv_id = it.conv_id)
+SELECT conv_id AS user_id, list(turn ORDER BY {_HASH % "conv_id || '_' || last || ':' || i"}, i) AS "order" FROM o GROUP BY 1""")
 def perturb_e3(s, d):
     out = explain.perturb(_records(s, d), "E3", "retrieval_only")
     return out.select("user_id", F.transform("evidence_used", lambda e: e["movie_id"]).alias("order"))
 
 
-@query()
+@query(f"""WITH {_REC}, rec AS (SELECT conv_id AS user_id, max(turn) AS movie_id, count(*) AS k FROM it GROUP BY 1), c AS (SELECT doc_id, row_number() OVER (ORDER BY {_HASH % "doc_id"}, doc_id) - 1 AS place, count(*) OVER () AS n FROM documents),
+z AS (SELECT user_id, movie_id, k, doc_id, row_number() OVER (PARTITION BY user_id, movie_id ORDER BY (place - {_HASH % "user_id || ':' || movie_id"} % n + n) % n) AS r FROM rec JOIN c ON c.doc_id <> rec.movie_id)
+SELECT user_id, movie_id, list(doc_id ORDER BY r) AS doc_ids FROM z WHERE r <= k GROUP BY 1, 2""")
 def perturb_e4(s, d):
     docs = readers.parquet(s, d, "documents").select("doc_id", F.col("doc_id").alias("movie_id"), "text", "source")
     out = explain.perturb(_records(s, d), "E4", "retrieval_only", docs)
     return out.select("user_id", "movie_id", F.transform("evidence_used", lambda e: e["doc_id"]).alias("doc_ids"))
 
 
-@query()
+_LCS = r""", w AS (SELECT user_id, movie_id, [x FOR x IN string_split_regex(lower(explanation), '\s+') IF x <> ''] AS h, [x FOR x IN string_split_regex(lower(evidence), '\s+') IF x <> ''] AS r FROM turnp),
+lcs AS (SELECT user_id, movie_id, h, r, 0 AS j, [0 FOR x IN r] AS best FROM w WHERE len(h) > 0 AND len(r) > 0
+UNION ALL SELECT user_id, movie_id, h, r, j + 1, [list_max([greatest(best[p], CASE WHEN r[p] = h[j + 1] THEN coalesce(best[p - 1], 0) + 1 ELSE 0 END) FOR p IN range(1, i + 1)]) FOR i IN range(1, len(r) + 1)] FROM lcs WHERE j < len(h))
+SELECT w.user_id, w.movie_id, round(coalesce(best[len(w.r)] / CAST(len(w.h) AS DOUBLE), 0.0), 6) AS rouge_l FROM w LEFT JOIN lcs ON lcs.user_id = w.user_id AND lcs.movie_id = w.movie_id AND j = len(w.h)"""
+
+
+@query(with_("turnp", _LCS).replace("WITH ", "WITH RECURSIVE ", 1))
 def rouge_l(s, d):
     return X.turn_pairs(s, d).select("user_id", "movie_id", F.round(text.rouge_l(F.col("explanation"), F.array("evidence")), 6).alias("rouge_l"))
 
@@ -769,46 +794,64 @@ def faithfulness_evaluate(s, d):
     return text.evaluate(p.select("user_id", "movie_id", F.lit("rag").alias("condition"), "explanation", one.alias("reference_evidence"), one.alias("evidence_used"))).drop("explanation")
 
 
-_MODEL_FEATURES = ["cf_score", "popularity", "content_similarity", "vote_count", *_KGI, *_KGD]
+# ---------------------------------------------------------------- learned: rows only, or SQL over a stored score
+
+
+def _names(s, d):
+    return features.resolve(features.FEATURE_SETS["V4"], _frame(s, d).columns)
+
+
+def _pointwise(s, d):
+    """Test candidates scored by the pointwise ranker, which saw validation labels only."""
+    return stored(s, d, "pointwise", lambda: ranker.Pointwise(_names(s, d)).fit(_fit_rows(s, d)).score(_test_rows(s, d)))
 
 
 @query()
 def gbt_pointwise(s, d):
-    frame = _assembled(s, d)
-    model = ranker.Pointwise(_MODEL_FEATURES, rounds=5, depth=3).fit(frame)
-    return ranker.ranked(model.score(frame), 10).select("user_id", "item_id", F.round("pred_score", 6).alias("pred_score"), "rank")
+    return ranker.ranked(_pointwise(s, d), 10).select("user_id", "item_id", F.round("pred_score", 6).alias("pred_score"), "rank")
 
 
 @query()
 def lambdamart(s, d):
-    frame = ranker.cap_groups(_assembled(s, d))
-    model = ranker.LambdaMart(_MODEL_FEATURES, rounds=3, depth=3).fit(frame)
-    return ranker.ranked(model.score(frame), 10).select("user_id", "item_id", F.round("pred_score", 6).alias("pred_score"), "rank")
+    fit = _fit_rows(s, d)
+    model = ranker.LambdaMart(_names(s, d), LAMBDA_ROUNDS, patience=LAMBDA_PATIENCE).fit(ranker.cap_groups(fit.filter("NOT is_val")), fit.filter("is_val"))
+    return ranker.ranked(model.score(_test_rows(s, d)), 10).select("user_id", "item_id", F.round("pred_score", 6).alias("pred_score"), "rank")
 
 
 @query()
 def grid_search(s, d):
-    val = prep.user_hash_split(X.train(s, d))
-    frame = _assembled(s, d).join(val, "user_id")
-    found = ranker.grid(["cf_score", "popularity", "vote_count"], store(frame.filter("NOT is_val").drop("is_val"), "grid"), store(frame.filter("is_val").drop("is_val"), "grid"), [2, 3], [0.1], [20], rounds=3)
+    """All eight combinations of the grid, each with early stopping, on validation users."""
+    fit = _fit_rows(s, d)
+    found = ranker.grid(_names(s, d), fit, fit.filter("is_val"), *ranker.GRID, rounds=GRID_ROUNDS)
     return s.createDataFrame([(r["depth"], r["rate"], r["min_child"], round(r["ndcg"], 6)) for r in found], "depth int, rate double, min_child int, ndcg double")
 
 
+@query()
+def ranker_metrics(s, d):
+    """Re-ranking metrics at 1, 5 and 10 on test users."""
+    return ranker.evaluate(_pointwise(s, d), [1, 5, 10]).select("k", "users", *[r6(c, c) for c in ("hit", "ndcg", "recall", "mrr")])
+
+
 @query()
 def export_topk(s, d):
-    frame = _assembled(s, d).withColumn("pred_score", F.col("cf_score"))
-    recs = ranker.export_top(frame, 10)
+    """The ten best by the ranker's own score, and the evaluation set made of them."""
+    recs = ranker.export_top(_pointwise(s, d), 10)
     return ranker.eval_set(recs, prep.histories(X.train(s, d), 10), 200).select("user_id", F.size("history").alias("n_history"), F.size("recommendations").alias("n_recommendations"))
 
 
+#: Reduced settings of registered learned queries (their cost is in the README); the operators' defaults are larger.
+LAMBDA_ROUNDS, LAMBDA_PATIENCE, GRID_ROUNDS = 20, 5, 50
+EMBED_DIM, EMBED_EPOCHS = 32, 10
+
+
 @query()
 def als_recall(s, d):
-    return embed.als_top(X.train(s, d), 20, 8, 3).select("user_id", "item_id", F.round("score", 4).alias("score"), "rank")
+    return embed.als_top(X.train(s, d), 20).select("user_id", "item_id", F.round("score", 4).alias("score"), "rank")
 
 
 @query()
 def bpr_mf(s, d):
-    users, items, _ = embed.bpr(X.train(s, d), 16, 2)
+    users, items, _ = embed.bpr(X.train(s, d), EMBED_DIM, EMBED_EPOCHS)
     return embed.factor_top(users, items, X.train(s, d), 10).select("user_id", "item_id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -825,13 +868,13 @@ def lightgcn_propagation(s, d):
 
 @query()
 def lightgcn_fit(s, d):
-    out, losses = embed.lightgcn(X.train(s, d), 8, 2, 1)
-    return out.select("id", *[F.round(f"e{k}", 6).alias(f"e{k}") for k in range(8)])
+    out, losses = embed.lightgcn(X.train(s, d), 16, 3, 3)
+    return out.select("id", *[F.round(f"e{k}", 6).alias(f"e{k}") for k in range(16)])
 
 
 def _kg_embedding(s, d, model):
     kg = _kg(s, d)
-    vec, _, _ = embed.train_kg(kg, graph.entities(kg), model, 16, 2, 0.05)
+    vec, _, _ = embed.train_kg(kg, graph.entities(kg), model, EMBED_DIM, EMBED_EPOCHS)
     return vec.select("id", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))
 
 
@@ -845,9 +888,12 @@ def rotate_embed(s, d):
     return _kg_embedding(s, d, "rotate")
 
 
-@query()
+@query(with_("ovl", _LEFTRIGHT + f""", b AS (SELECT user_id, l - r AS d, unnest(range(500)) AS block FROM l JOIN r USING (user_id)), hb AS (SELECT d, block, md5(user_id || ':0:' || block || ':42') AS x FROM b),
+dr AS (SELECT d, block * 4 + k AS round, (CAST('0x' || substr(x, CAST(8 * k + 1 AS INTEGER), 8) AS BIGINT) + 0.5) / CAST(4294967296.0 AS DOUBLE) AS u FROM hb, (SELECT unnest(range(4)) AS k)),
+wt AS (SELECT round, d, {" + ".join(f"CASE WHEN u > CAST({end!r} AS DOUBLE) THEN 1 ELSE 0 END" for end in stats.POISSON_ENDS)} AS w FROM dr), ms AS (SELECT round, sum(w * d) / CAST(nullif(sum(w), 0) AS DOUBLE) AS m FROM wt GROUP BY 1)
+SELECT round(quantile_cont(m, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(m, 0.975), 6) + 0.0 AS ci_high FROM ms"""))
 def bootstrap_ci(s, d):
-    return stats.bootstrap_distributed(_aligned(s, d), 200)
+    return stats.bootstrap_distributed(_aligned(s, d)).select(r6("ci_low", "ci_low"), r6("ci_high", "ci_high"))
 
 
 @query()

@@ -54,8 +54,8 @@ CTE: dict[str, tuple[str, str]] = {
     "kg": ("t_meta t_decade t_co", "SELECT * FROM t_meta UNION ALL SELECT * FROM t_decade UNION ALL SELECT * FROM t_co"),
     "und": ("kg", "SELECT DISTINCT src, relation, dst FROM (SELECT head AS src, relation, tail AS dst FROM kg UNION ALL SELECT tail, relation, head FROM kg)"),
     "idf": ("und", "SELECT src AS entity, count(DISTINCT dst) AS df, ln((SELECT count(DISTINCT src) FROM und WHERE src LIKE 'movie\\_%' ESCAPE '\\') / CAST(count(DISTINCT dst) AS DOUBLE)) AS idf FROM und WHERE src NOT LIKE 'movie\\_%' ESCAPE '\\' AND dst LIKE 'movie\\_%' ESCAPE '\\' GROUP BY 1"),
-    "cand10": ("cf", "SELECT user_id, item_id FROM cf WHERE rank <= 10"),
-    "hp": ("cand10 hist20", "SELECT c.user_id, c.item_id, h.item_id AS source, h.age FROM cand10 c JOIN hist20 h ON c.user_id = h.user_id"),
+    "cands": ("merged", "SELECT user_id, item_id FROM merged"),
+    "hp": ("cands hist20", "SELECT c.user_id, c.item_id, h.item_id AS source, h.age FROM cands c JOIN hist20 h ON c.user_id = h.user_id"),
     "wanted": ("hp", "SELECT DISTINCT source AS a, item_id AS b FROM hp"),
     "common": ("wanted und idf", """SELECT w.a, w.b, x.relation, x.dst, idf FROM wanted w JOIN und x ON x.src = 'movie_' || w.a AND x.relation <> 'co_liked'
         JOIN und y ON y.src = 'movie_' || w.b AND y.relation = x.relation AND y.dst = x.dst JOIN idf ON idf.entity = x.dst"""),
