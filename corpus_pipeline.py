@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), where ``docs`` is what its predecessor
 wrote, and returns a DataFrame.  All but the last return the columns of
-``documents``; the last returns the packed pieces.
+``documents``, whatever they are called; the last returns the packed pieces.
+
+Defined results: an empty table stays empty; a null text is empty text; without
+labels nothing is toxic.  Where identifiers are null or repeat, rows are told
+apart by a stored number: of equal or near texts the row with the smallest
+identifier stays (null is larger than any other), of rows that share it the
+first stored one.  Repeated rows are copies.  Every other row stays.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenrec.llm import exact_dedup, packing, secrets, simhash, toxicity
 from lumenrec.llm.common import new_path
 
-#: Two stages are learned models, so SQL cannot state run()'s rows; the tests hold it against brute force.
+#: Two stages are learned models, so SQL cannot state run()'s rows; tests/llm/test_pipeline.py holds them against plain Python.
 ORACLE_SQL = None
 
 
