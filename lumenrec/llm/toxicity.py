@@ -167,6 +167,19 @@ def fit(x: np.ndarray, y: np.ndarray, rank: int = 8, epochs: int = 30, rate: flo
     return float(par[0][0]), par[1], par[2]
 
 
+def _gathered(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Classes and slot lists of at most ``max_rows`` rows, in an order of their own, without a Python object per slot."""
+    got = rows.toArrow().combine_chunks()
+    if not got.num_rows:
+        return np.zeros(0, np.int64), []
+    lists = got.column(1).chunk(0)
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    y = got.column(0).to_numpy()
+    own = [np.sort(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    order = sorted(range(len(y)), key=lambda i: (y[i], own[i].tobytes()))
+    return y[order], [own[i] for i in order]
+
+
 def train(
     docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, z: float = 5.3, pair_z: float = 6.0, id_col: str = "doc_id", text_col: str = "text"
 ) -> Machine:
@@ -209,21 +222,21 @@ def train(
     counts = rows.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("d"), F.sum("y").alias("d1"))
     gap = F.abs(F.col("d1") - F.col("d") * p) / F.sqrt(F.col("d") * F.lit(p * (1 - p)))
     alone = {r.slot for r in counts.filter((F.col("d") >= LEAST) & (gap >= z)).select("slot").collect()}
-    heads: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-    for y, own in sorted((r.y, r.heads) for r in rows.select("y", "heads").collect()):  # at most max_rows, in an order of their own
-        heads[y > 0].append(np.array(own, np.int64))
-    chosen = sorted(alone | set(pair_slots(heads[1], heads[0], pair_z).tolist()))
+    y, heads = _gathered(rows.select("y", "heads"))
+    paired = pair_slots([h for t, h in zip(y, heads, strict=True) if t], [h for t, h in zip(y, heads, strict=True) if not t], pair_z)
+    chosen = sorted(alone | set(paired.tolist()))
     if not chosen:
         return Machine(float(np.log(p / (1 - p))), {}, np.zeros(0), np.zeros((0, 1)))
-    place = {s: i for i, s in enumerate(chosen)}
+    del heads, paired
+    place = np.array(chosen)
     keep = F.array_intersect("slots", F.array(*[F.lit(s) for s in chosen]).cast("array<int>"))
-    data = sorted(rows.select("y", keep.alias("slots")).collect())
+    y, slots = _gathered(rows.select("y", keep.alias("slots")))
     remove(docs.sparkSession, path2)
-    x, y = np.zeros((len(data), len(chosen)), np.uint8), np.array([r.y for r in data], np.float64)
-    for i, r in enumerate(data):
-        x[i, [place[s] for s in r.slots]] = 1
-    bias, weight, vectors = fit(x, y)
-    return Machine(bias, place, weight, vectors)
+    x = np.zeros((len(y), len(chosen)), np.uint8)
+    for i, own in enumerate(slots):
+        x[i, np.searchsorted(place, own)] = 1
+    bias, weight, vectors = fit(x, y.astype(np.float64))
+    return Machine(bias, {s: i for i, s in enumerate(chosen)}, weight, vectors)
 
 
 class Scorer:
