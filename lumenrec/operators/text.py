@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -125,14 +126,13 @@ def hybrid(corpus: DataFrame, queries: DataFrame, doc_vectors: DataFrame, extra:
 def hashed_vectors(texts: Column, dims: int = 64) -> Column:
     """A bag-of-words vector for each text of an array, a stand-in where no encoder is at hand."""
 
-    @F.pandas_udf("array<array<double>>")
-    def run(batch: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[float]:
-            return np.bincount(np.array([crc32(w.encode()) % dims for w in (t or "").lower().split()], np.int64), minlength=dims).astype(float).tolist()
+    def places(t: Column) -> Column:
+        return F.transform(S.tokens(F.coalesce(t, F.lit(""))), lambda w: F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(dims)).cast("int"))
 
-        return batch.map(lambda row: [one(t) for t in row])
+    def counts(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(p, lambda x: x == k)).cast("double"))
 
-    return run(texts)
+    return F.transform(texts, lambda t: F.transform(F.array(places(t)), counts)[0])
 
 
 # ---------------------------------------------------------------- faithfulness
@@ -216,16 +216,22 @@ def bertscore_settings(local: bool, directory: str = "models/roberta-large", res
 TokenVectors = Callable[[list[str]], np.ndarray]
 
 
+@functools.lru_cache(200_000)
+def _word_vector(word: str, dims: int) -> np.ndarray:
+    padded, out = f"^{word}$", np.zeros(dims)
+    for k in range(max(1, len(padded) - 2)):
+        h = crc32(padded[k : k + 3].encode())
+        out[h % dims] += 1 if h & 1 << 20 else -1
+    n = np.linalg.norm(out)
+    return out / n if n > 0 else out
+
+
 def hashed_token_vectors(words: list[str], dims: int = 32) -> np.ndarray:
-    """Deterministic unit vectors from character trigrams: related spellings are close."""
-    out = np.zeros((len(words), dims))
-    for i, w in enumerate(words):
-        padded = f"^{w}$"
-        for k in range(max(1, len(padded) - 2)):
-            h = crc32(padded[k : k + 3].encode())
-            out[i, h % dims] += 1 if h & 1 << 20 else -1
-    n = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(n > 0, n, 1)
+    """Deterministic unit vectors from character trigrams: related spellings are close.
+
+    A stand-in for a neural scorer, by name and by numbers; words met before are remembered.
+    """
+    return np.stack([_word_vector(w, dims) for w in words]) if words else np.zeros((0, dims))
 
 
 def greedy_match_f1(candidate: np.ndarray, reference: np.ndarray) -> float:

@@ -803,7 +803,7 @@ def _names(s, d):
 
 def _pointwise(s, d):
     """Test candidates scored by the pointwise ranker, which saw validation labels only."""
-    return stored(s, d, "pointwise", lambda: ranker.Pointwise(_names(s, d)).fit(_fit_rows(s, d)).score(_test_rows(s, d)))
+    return stored(s, d, "pointwise", lambda: ranker.Pointwise(_names(s, d), POINT_ROUNDS).fit(_fit_rows(s, d)).score(_test_rows(s, d)))
 
 
 @query()
@@ -840,7 +840,7 @@ def export_topk(s, d):
 
 
 #: Reduced settings of registered learned queries (their cost is in the README); the operators' defaults are larger.
-LAMBDA_ROUNDS, LAMBDA_PATIENCE, GRID_ROUNDS = 20, 5, 50
+POINT_ROUNDS, LAMBDA_ROUNDS, LAMBDA_PATIENCE, GRID_ROUNDS = 30, 20, 5, 10
 EMBED_DIM, EMBED_EPOCHS = 32, 10
 
 
@@ -896,7 +896,7 @@ def bootstrap_ci(s, d):
     return stats.bootstrap_distributed(_aligned(s, d)).select(r6("ci_low", "ci_low"), r6("ci_high", "ci_high"))
 
 
-@query()
+@query("""SELECT p_partkey, p_name || ' suits this user. ' || CASE WHEN p_partkey % 4 = 0 THEN 'It matches what this user likes.' ELSE 'As noted: ' || p_name || ' is a ' || p_type || ' film.' END AS explanation FROM part""".replace("p_name || ' suits", "p_name || CASE WHEN p_partkey % 4 = 0 THEN ' (' || p_type || ')' ELSE '' END || ' suits"))
 def generate_explanations(s, d):
     p = readers.parquet(s, d, "part")
     titles, genres = F.array("p_name", "p_brand"), F.array("p_type")
