@@ -13,7 +13,8 @@ common boundaries:
   boundaries and no token crosses one.
 
 The first such p in the overlap splices the two.  Where there is none (one word
-fills the overlap) the overlap doubles, up to the whole text so far.
+fills the overlap) the overlap doubles, up to the whole unsettled text; from
+there the chunk doubles too.
 
 Defined results: null text is empty and has no tokens; special strings inside a
 text count as the library's default has it; an empty table gives no rows; rows
@@ -65,7 +66,8 @@ def count_long(text: str, tok: Tokenizer, chunk: int = CHUNK, overlap: int = OVE
         width = overlap
         while True:
             begin = max(end - width, start)
-            until = min(end + chunk, len(text))
+            ahead = chunk if begin > start else max(chunk, end - start)  # without any boundary chunks double, so the work stays linear
+            until = min(end + ahead, len(text))
             after = tok.encode(text[begin:until], add_special_tokens=False)
             later = _boundaries(after, begin)
             low = begin + len(SPECIAL) if begin > start else begin  # a special string may straddle the cut

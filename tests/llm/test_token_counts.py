@@ -21,6 +21,21 @@ def test_one_endless_word():
         assert token_counts.count_long(s, tok, 64, 16) == len(tok.encode(s, add_special_tokens=False).ids)
 
 
+def test_work_is_linear_without_boundaries():
+    class Counting:
+        def __init__(self):
+            self.tok, self.chars = library(), 0
+
+        def encode(self, text, **kw):
+            self.chars += len(text)
+            return self.tok.encode(text, **kw)
+
+    for n in (4_000, 32_000):
+        tok, text = Counting(), "a" * n
+        assert token_counts.count_long(text, tok, 64, 16) == len(library().encode(text, add_special_tokens=False).ids)
+        assert tok.chars < 16 * n
+
+
 def test_table(spark):
     rows = [(1, None, 1), (2, "", 1), (3, "héllo <|endoftext|>", 1), (3, "héllo <|endoftext|>", 1), (None, "word another " * 20_000, 1)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int")
