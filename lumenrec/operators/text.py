@@ -71,22 +71,34 @@ def build_corpus(chunks: DataFrame, order: list[str]) -> DataFrame:
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Rows (query, word) that may be broadcast to the postings.
+BROADCAST_WORDS = 1_000_000
+
+
 def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, doc_id, score): Okapi scores of documents that share a query word.
 
     Repeated query words add up.  Negative idf becomes epsilon times the mean idf.
-    Only postings of query words are joined; word statistics cover the corpus.
+    Word statistics cover the corpus.  The queries' words go to the postings where
+    there are no more than BROADCAST_WORDS (counted), so a frequent word's postings
+    stay spread; beyond that both sides are shuffled by word and a part of the
+    document's hash, which splits a frequent word 32 ways.
     """
-    words = corpus.select("doc_id", F.explode(S.tokens(F.col("text"))).alias("w"))
-    tf = store(words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("tf")), "postings")  # texts are split once
-    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    split = corpus.select("doc_id", S.tokens(F.col("text")).alias("t"))
+    words = split.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("w"))
+    tf = store(words.groupBy("doc_id", "len", "w").agg(F.count(F.lit(1)).alias("tf")), "postings")  # texts are split once
     stats = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).join(corpus.agg(F.count(F.lit(1)).alias("n")))
     stats = stats.select("n", F.try_divide("words", "n").alias("avgdl"))
     idf = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats)).select("w", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "avgdl")
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
     asked = queries.select("q", F.explode(S.tokens(F.col("text"))).alias("w")).groupBy("q", "w").agg(F.count(F.lit(1)).alias("qn"))
     weight = asked.join(idf, "w").join(F.broadcast(mean)).select("q", "w", "qn", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    hits = weight.join(tf, "w").join(lengths, "doc_id")
+    weight = store(weight, "weights")
+    if weight.count() <= BROADCAST_WORDS:
+        hits = tf.join(F.broadcast(weight), "w")
+    else:
+        parts = weight.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        hits = tf.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(parts, ["w", "part"])
     part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return hits.groupBy("q", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -99,7 +111,7 @@ def top_docs(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
 def hybrid(corpus: DataFrame, queries: DataFrame, doc_vectors: DataFrame, extra: DataFrame | None = None, top_k: int = 8, alpha: float = 0.6) -> DataFrame:
     """(q, doc_id, text, dense_score, bm25_score, score, rank).
 
-    ``queries`` (q, text, vector), ``doc_vectors`` (doc_id, vector), ``extra``
+    ``queries`` (q, text, vector or null), ``doc_vectors`` (doc_id, vector), ``extra``
     (q, doc_id): documents of the candidate and of the history.  Both routes give
     5 top_k documents; each candidate's score is exact in both; scores are rounded
     to 4 digits before sorting; of equal texts the best stays.
@@ -108,7 +120,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, doc_vectors: DataFrame, extra:
     units = doc_vectors.select("doc_id", V.unit(F.col("vector")).alias("dv"))
     asked = queries.select("q", V.unit(F.col("vector")).alias("qv"))
     items = units.select(F.col("doc_id").alias("item_id"), F.col("dv").alias("vector"))
-    dense = V.top_inner_products(asked.select("q", F.col("qv").alias("vector")), items, fetch).select("q", F.col("item_id").alias("doc_id"))
+    dense = V.top_inner_products(asked.filter("qv IS NOT NULL").select("q", F.col("qv").alias("vector")), items, fetch).select("q", F.col("item_id").alias("doc_id"))
     raw = bm25(corpus, queries.select("q", "text"))
     top = raw.groupBy("q").agg(F.max("score").alias("m"))
     sparse = raw.join(top, "q").select("q", "doc_id", (F.col("score") / F.when(F.col("m") > 0, F.col("m")).otherwise(F.lit(1.0))).alias("score"))

@@ -646,8 +646,8 @@ def _doc_vectors(s, d):
     return X.vectors(s, d).withColumnRenamed("item_id", "doc_id")
 
 
-@query(with_("bm vec", """, qv AS (SELECT b.item_id AS q, u AS qu FROM benchmark b JOIN vec ON vec.item_id = b.item_id),
-dense AS (SELECT q, item_id AS doc_id FROM (SELECT q, item_id, row_number() OVER (PARTITION BY q ORDER BY round(list_inner_product(qu, u), 6) DESC, item_id) AS rn FROM qv CROSS JOIN vec) WHERE rn <= 40),
+@query(with_("bm vec", """, qv AS (SELECT b.item_id AS q, u AS qu FROM benchmark b LEFT JOIN vec ON vec.item_id = b.item_id),
+dense AS (SELECT q, item_id AS doc_id FROM (SELECT q, item_id, row_number() OVER (PARTITION BY q ORDER BY round(list_inner_product(qu, u), 6) DESC, item_id) AS rn FROM qv CROSS JOIN vec WHERE qu IS NOT NULL) WHERE rn <= 40),
 nb AS (SELECT q, doc_id, score / CASE WHEN max(score) OVER (PARTITION BY q) > 0 THEN max(score) OVER (PARTITION BY q) ELSE 1.0 END AS s FROM bm),
 sp AS (SELECT q, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, doc_id) AS rn FROM nb WHERE s > 0) WHERE rn <= 40),
 f AS (SELECT * FROM dense UNION SELECT * FROM sp),
@@ -657,7 +657,7 @@ x AS (SELECT *, row_number() OVER (PARTITION BY q, text ORDER BY score DESC, doc
 SELECT q, doc_id, dense_score, bm25_score, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM x WHERE n = 1) WHERE rank <= 8"""))
 def hybrid_topk(s, d):
     docs = readers.parquet(s, d, "documents").select("doc_id", "text")
-    asked = readers.parquet(s, d, "benchmark").select(F.col("item_id").alias("q"), "text").join(X.vectors(s, d).withColumnRenamed("item_id", "q"), "q")
+    asked = readers.parquet(s, d, "benchmark").select(F.col("item_id").alias("q"), "text").join(X.vectors(s, d).withColumnRenamed("item_id", "q"), "q", "left")
     out = text.hybrid(docs, asked, _doc_vectors(s, d).join(docs.select("doc_id"), "doc_id", "left_semi"))
     return out.select("q", "doc_id", (F.col("dense_score") + 0.0).alias("dense_score"), "bm25_score", (F.col("score") + 0.0).alias("score"), "rank")
 
