@@ -237,53 +237,96 @@ def shared_entities(kg: DataFrame, candidates: DataFrame, history: DataFrame) ->
     )
 
 
-def item_entities(kg: DataFrame) -> DataFrame:
-    """(node, facts array<struct<rel, dst, idf>>, liked array<string>) of each movie node."""
-    both = undirected(kg).filter(F.col("src").startswith("movie_"))
-    idf = entity_idf(kg).select(F.col("entity").alias("dst"), "idf")
-    rows = both.join(idf, "dst", "left")
-    fact = F.when((F.col("relation") != "co_liked") & F.col("idf").isNotNull(), F.struct(F.col("relation").alias("rel"), "dst", "idf"))
-    return rows.groupBy(F.col("src").alias("node")).agg(F.collect_list(fact).alias("facts"), F.collect_set(F.when(F.col("relation") == "co_liked", F.col("dst"))).alias("liked"))
+#: Column of an item's fact numbers by relation.
+FACTS = {"acted_by": "actors", "directed_by": "directors", "has_genre": "genres", "released_in_decade": "decades"}
+
+
+def item_facts(kg: DataFrame) -> DataFrame:
+    """(node, actors, directors, genres, decades array<bigint>, weights map<bigint, double>, liked array<string>).
+
+    Entities are numbered, so that lists intersect as numbers; ``weights`` holds
+    the idf of the item's own entities.
+    """
+    numbered = prep.global_rank(entity_idf(kg), ["entity"], "no").select(F.col("entity").alias("dst"), F.col("no").cast("bigint").alias("no"), "idf")
+    rows = undirected(kg).filter(F.col("src").startswith("movie_")).join(numbered, "dst", "left")
+    known = (F.col("relation") != "co_liked") & F.col("no").isNotNull()
+    return rows.groupBy(F.col("src").alias("node")).agg(
+        *[F.collect_list(F.when(known & (F.col("relation") == rel), F.col("no"))).alias(name) for rel, name in FACTS.items()],
+        F.map_from_entries(F.collect_list(F.when(known, F.struct("no", "idf")))).alias("weights"),
+        F.collect_set(F.when(F.col("relation") == "co_liked", F.col("dst"))).alias("liked"),
+    )
+
+
+def _weight(common, weights):
+    """Sum of the weights of common entities."""
+    return F.aggregate(common, F.lit(0.0), lambda acc, no: acc + F.element_at(weights, no))
 
 
 def pairwise(kg: DataFrame, pairs: DataFrame) -> DataFrame:
     """Eight features of item pairs (a, b), from the intersection of the two items' own facts."""
-    items = _small(item_entities(kg), ["facts", "liked"])
+    items = _small(item_facts(kg), [*FACTS.values(), "liked"])
     wanted = pairs.select("a", "b").distinct().withColumn("s", _node("movie", F.col("a"))).withColumn("t", _node("movie", F.col("b")))
-    left = items.select(F.col("node").alias("s"), F.col("facts").alias("fs"), "liked")
-    right = items.select(F.col("node").alias("t"), F.col("facts").alias("ft"))
-    none = F.array().cast("array<struct<rel:string,dst:string,idf:double>>")
-    rows = wanted.join(left, "s", "left").join(right, "t", "left").withColumn("common", F.coalesce(F.array_intersect("fs", "ft"), none))
-
-    def of(rel: str):
-        return F.filter("common", lambda x: x["rel"] == rel)
+    left = items.select(F.col("node").alias("s"), *[F.col(c).alias(f"{c}_s") for c in FACTS.values()], "weights", "liked")
+    right = items.select(F.col("node").alias("t"), *[F.col(c).alias(f"{c}_t") for c in FACTS.values()])
+    rows = wanted.join(left, "s", "left").join(right, "t", "left")
+    none = F.array().cast("array<bigint>")
+    rows = rows.withColumns({c: F.coalesce(F.array_intersect(f"{c}_s", f"{c}_t"), none) for c in FACTS.values()})
 
-    def count(rel: str, name: str):
-        return F.size(of(rel)).cast("bigint").alias(name)
+    def count(c: str, name: str):
+        return F.size(c).cast("bigint").alias(name)
 
-    def weight(rel: str, name: str):
-        return F.aggregate(of(rel), F.lit(0.0), lambda acc, x: acc + x["idf"]).alias(name)
+    def any_(c: str, name: str):
+        return (F.size(c) > 0).cast("bigint").alias(name)
 
-    def any_(rel: str, name: str):
-        return (F.size(of(rel)) > 0).cast("bigint").alias(name)
+    def weight(c: str, name: str):
+        return _weight(c, F.col("weights")).alias(name)
 
     return rows.select(
-        "a", "b", count("acted_by", "shared_actor_count"), any_("directed_by", "same_director"), count("has_genre", "same_genre_count"), any_("released_in_decade", "same_decade"),
+        "a", "b", count("actors", "shared_actor_count"), any_("directors", "same_director"), count("genres", "same_genre_count"), any_("decades", "same_decade"),
         F.coalesce(F.array_contains("liked", F.col("t")), F.lit(False)).cast("bigint").alias("co_liked"),
-        weight("acted_by", "shared_actor_idf"), weight("directed_by", "same_director_idf"), weight("has_genre", "same_genre_idf"),
+        weight("actors", "shared_actor_idf"), weight("directors", "same_director_idf"), weight("genres", "same_genre_idf"),
     )
 
 
 def user_candidate_features(kg: DataFrame, candidates: DataFrame, history: DataFrame) -> DataFrame:
-    """Ten ``kg_`` columns for (user_id, item_id); ``history`` (user_id, source) counts whole, in or out of the graph."""
-    rows = candidates.select("user_id", "item_id").join(history.select("user_id", "source"), "user_id")
-    feats = pairwise(kg, rows.select(F.col("source").alias("a"), F.col("item_id").alias("b")))
-    joined = rows.join(feats.withColumnRenamed("a", "source").withColumnRenamed("b", "item_id"), ["source", "item_id"])
-    out = joined.groupBy("user_id", "item_id").agg(
-        F.sum("shared_actor_count").alias("kg_shared_actor_count_sum"), F.max("shared_actor_count").alias("kg_shared_actor_count_max"),
-        F.max("same_director").alias("kg_same_director_max"), F.sum("same_genre_count").alias("kg_same_genre_count_sum"),
-        F.max("same_genre_count").alias("kg_same_genre_count_max"), F.sum("shared_actor_idf").alias("kg_shared_actor_idf_sum"),
-        F.max("same_director_idf").alias("kg_same_director_idf_max"), F.sum("same_genre_idf").alias("kg_same_genre_idf_sum"),
-        F.sum("co_liked").alias("kg_co_liked_sum"), (F.sum("same_decade") / F.count(F.lit(1))).alias("kg_same_decade_ratio"),
+    """Ten ``kg_`` columns for (user_id, item_id); ``history`` (user_id, source) counts whole, in or out of the graph.
+
+    A user's history is one row of fact lists, which each candidate's own lists
+    intersect; item pairs are never made as rows.
+    """
+    items = _small(item_facts(kg), [*FACTS.values(), "liked"])
+    lists = list(FACTS.values())
+    none = F.array().cast("array<bigint>")
+    past = history.select("user_id", _node("movie", F.col("source")).alias("node")).join(items.select("node", *lists), "node", "left")
+    users = past.groupBy("user_id").agg(F.collect_list(F.struct("node", *[F.coalesce(c, none).alias(c) for c in lists])).alias("past"))
+    own = items.select("node", *[F.col(c).alias(f"my_{c}") for c in lists], "weights", "liked")
+    rows = candidates.select("user_id", "item_id", _node("movie", F.col("item_id")).alias("node")).join(users, "user_id", "left").join(own, "node", "left")
+
+    def shared(h, c: str):
+        return F.array_intersect(h[c], F.coalesce(f"my_{c}", none))
+
+    def facts(h):
+        actors, directors, genres = (shared(h, c) for c in ("actors", "directors", "genres"))
+        return F.struct(
+            F.size(actors).alias("actors"), F.size(directors).alias("directors"), F.size(genres).alias("genres"), F.arrays_overlap(h["decades"], F.coalesce("my_decades", none)).cast("int").alias("decades"),
+            F.coalesce(F.array_contains("liked", h["node"]), F.lit(False)).cast("int").alias("liked"),
+            _weight(actors, F.col("weights")).alias("actors_idf"), _weight(directors, F.col("weights")).alias("directors_idf"), _weight(genres, F.col("weights")).alias("genres_idf"),
+        )
+
+    each = rows.withColumn("each", F.transform("past", facts))
+
+    def total(c: str, zero: float | int = 0):
+        start = F.lit(zero).cast("bigint") if zero == 0 and isinstance(zero, int) else F.lit(zero)
+        return F.coalesce(F.aggregate(F.transform("each", lambda x: x[c]), start, lambda acc, x: acc + x), start)
+
+    def most(c: str, kind: str):
+        return F.coalesce(F.array_max(F.transform("each", lambda x: x[c])), F.lit(0)).cast(kind)
+
+    return each.select(
+        "user_id", "item_id",
+        total("actors").alias("kg_shared_actor_count_sum"), most("actors", "bigint").alias("kg_shared_actor_count_max"),
+        F.least(most("directors", "bigint"), F.lit(1)).cast("bigint").alias("kg_same_director_max"), total("genres").alias("kg_same_genre_count_sum"),
+        most("genres", "bigint").alias("kg_same_genre_count_max"), total("actors_idf", 0.0).alias("kg_shared_actor_idf_sum"),
+        most("directors_idf", "double").alias("kg_same_director_idf_max"), total("genres_idf", 0.0).alias("kg_same_genre_idf_sum"),
+        total("liked").alias("kg_co_liked_sum"), F.coalesce(F.try_divide(total("decades"), F.size("past")), F.lit(0.0)).alias("kg_same_decade_ratio"),
     )
-    return candidates.select("user_id", "item_id").join(out, ["user_id", "item_id"], "left").na.fill(0)
