@@ -176,7 +176,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def pages_to_arc(pages: DataFrame) -> DataFrame:
-    """(archive binary): each partition's pages as ARC files of about 1 MB, versions 1 and 2 in turn.
+    """(archive binary): each partition's pages as gzipped ARC files of about 1 MB, versions 1 and 2 in turn.
 
     The stored content is an HTTP response whose headers carry the page id.
     """
@@ -186,7 +186,8 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
         version, made, size = 1, [], 0
 
         def closed():
-            return pa.RecordBatch.from_arrays([pa.array([arc_opening(version, "legacy.arc") + b"".join(made)], pa.binary())], names=["archive"])
+            whole = gzip.compress(arc_opening(version, "legacy.arc") + b"".join(made), 1, mtime=0)
+            return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["archive"])
 
         for batch in batches:
             for page, url, html in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
@@ -211,7 +212,7 @@ def convert(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for archive in batch.column(0):
                 out = []
-                for r in read_arc(archive.as_py()):
+                for r in read_arc(gzip.decompress(archive.as_py())):
                     head, _, payload = r["content"].partition(b"\r\n\r\n")
                     page = int(re.search(rb"X-Page-Id: (-?\d+)", head)[1])
                     out.append((page, r["URL"], r["Archive-date"], head + b"\r\n\r\n", payload, hashlib.sha1(payload).digest()))
