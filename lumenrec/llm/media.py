@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, text_or_empty
+from .common import cut, quoted, text_or_empty
 
 WIDTH = 576
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -173,6 +173,11 @@ def images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
+def stored(media: DataFrame) -> DataFrame:
+    """The media column written to the shared folder and read back."""
+    return cut(media, "media")
+
+
 def describe(media: DataFrame) -> DataFrame:
     """Reads the media column back: payload size, digests and feature of each image."""
 

@@ -92,7 +92,7 @@ def op8_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.images(_documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+    return media.describe(media.stored(media.images(_documents(spark, sf_dir)))).withColumnRenamed("id", "doc_id")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
