@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrec.functions.strings import seeded
 from lumenrec.operators import prep
 from lumenrec.sources.readers import exists
 from lumenrec.sources.workspace import store
@@ -115,12 +116,6 @@ def remove_key(evidence: Column, share: float = 0.5) -> Column:
     return F.when(n > 0, F.slice(by_score, 1, keep)).otherwise(evidence)
 
 
-def seeded(*parts: Column | str, seed: int = 42) -> Column:
-    """A number from 0 to 2**32 - 1 by the md5 of the parts, the same in any engine."""
-    text = F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 8), 16, 10).cast("bigint")
-
-
 def shuffled(evidence: Column, key: Column, seed: int = 42) -> Column:
     """E3: an order by seeded hash of key and place, the same on every run and partitioning."""
     keyed = F.transform(evidence, lambda e, i: F.struct(seeded(key, i, seed=seed).alias("h"), i.alias("i"), e.alias("e")))

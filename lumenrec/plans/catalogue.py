@@ -2,53 +2,28 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenrec.functions import metrics, stats
 from lumenrec.functions import strings as S
 from lumenrec.functions import vectors as V
 from lumenrec.operators import embed, explain, features, graph, prep, ranker, recall, text
+from lumenrec.plans import storage
+from lumenrec.plans.registry import oracle_sql, queries, query
 from lumenrec.plans.sql import with_
 from lumenrec.sources import fixtures as X
-from lumenrec.sources import readers
+from lumenrec.sources import readers, sinks
 from lumenrec.sources.workspace import root, store, stored
 from lumenrec.streaming import resume
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+__all__ = ["oracle_sql", "queries", "storage"]
 #: The synthetic interactions are thin: two shared users make a pair co-liked.
 CO_LIKED = 2
 
 
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            """Positions are bigint, as in SQL; cast last, so that window limits are still inferred."""
-            df = f(spark, sf_dir)
-            return df.withColumns({c: F.col(c).cast("bigint") for c, t in df.dtypes if t == "int" and c in ("rank", "n")})
-
-        _QUERIES[f.__name__] = functools.wraps(f)(run)
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def r6(c, name: str):
     col = F.col(c) if isinstance(c, str) else c
     return (F.round(col, 6) + 0.0).alias(name)
@@ -320,6 +295,36 @@ def kg_user_item_features(s, d):
     return _kg_features(s, d).select("user_id", "item_id", *_KGI, *[r6(c, c) for c in _KGD])
 
 
+_MD5 = "CAST('0x' || substr(md5(%s || ':42'), 1, 8) AS BIGINT)"
+
+
+@query(with_("kg", f"SELECT head, relation, tail FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY {_MD5 % "head || ':' || tail"}, head, tail) AS rn FROM kg) WHERE rn <= 50"))
+def kg_balanced_sample(s, d):
+    return embed.balanced(_kg(s, d), 50)
+
+
+@query(with_("kg", f""", en AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS entity_id, count(*) OVER () AS n FROM (SELECT head AS entity FROM kg UNION SELECT tail FROM kg)),
+z AS (SELECT *, {_MD5 % "head || ':' || relation || ':' || tail"} % (SELECT max(n) FROM en) AS k, CAST('0x' || substr(md5(tail || ':' || relation || ':' || head || ':43'), 1, 8) AS BIGINT) % 2 AS side FROM kg)
+SELECT head, relation, tail, CASE WHEN side = 0 THEN entity ELSE head END AS nh, CASE WHEN side = 0 THEN tail ELSE entity END AS nt FROM z JOIN en ON entity_id = k"""))
+def kg_corrupted(s, d):
+    return embed.corrupted(_kg(s, d), graph.entities(_kg(s, d)), 42)
+
+
+@query(with_("t_meta t_decade pairs", """, kc AS (SELECT * FROM t_meta UNION ALL SELECT * FROM t_decade UNION ALL SELECT 'movie_' || a, 'co_liked', 'movie_' || b FROM (SELECT a, b FROM pairs WHERE n >= 2 ORDER BY n DESC, a, b LIMIT 500))
+SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS entity_id, string_split(entity, '_')[1] AS type FROM (SELECT head AS entity FROM kc UNION SELECT tail FROM kc)"""))
+def kg_rebuild_capped(s, d):
+    """The graph with capped co-liked edges; entities come from its own triples."""
+    return graph.entities(graph.triples(X.metadata(s, d), X.train(s, d), CO_LIKED, 500))
+
+
+@query(with_("kg", "SELECT head, relation, tail FROM kg"))
+def kg_stored(s, d):
+    """The graph as an edge table, written by the sink and read back as a required source."""
+    path = f"{root(s)}/kg-{uuid.uuid4().hex}"
+    sinks.overwrite(_kg(s, d), path, ["relation"])
+    return readers.required(s, path).select("head", "relation", "tail")
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -464,6 +469,21 @@ def feature_stats(s, d):
 # ---------------------------------------------------------------- metrics
 
 
+@query(with_("merged gt", f"SELECT user_id, item_id, label FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, {_MD5 % "user_id || ':' || item_id"}, item_id) AS rn FROM (SELECT m.user_id, m.item_id, CAST(g.item_id IS NOT NULL AS INTEGER) AS label FROM merged m LEFT JOIN gt g ON g.user_id = m.user_id AND g.item_id = m.item_id)) WHERE rn <= 30"))
+def group_cap(s, d):
+    return ranker.cap_groups(recall.label(_merged(s, d), X.part_of(s, d, "test")), 30).select("user_id", "item_id", "label")
+
+
+@query(with_("merged gt aged", f""", r AS (SELECT m.user_id, m.item_id, m.rank, g.item_id IS NOT NULL AS hit FROM merged m LEFT JOIN gt g ON g.user_id = m.user_id AND g.item_id = m.item_id WHERE m.rank <= 10),
+u AS (SELECT user_id, list(item_id ORDER BY rank) AS movies, max(hit) AS hit FROM r GROUP BY 1), h AS (SELECT user_id, list(item_id ORDER BY age DESC) AS history FROM aged WHERE age <= 10 GROUP BY 1)
+SELECT u.user_id, history, movies FROM (SELECT * FROM u ORDER BY hit DESC, {_MD5 % "user_id"}, user_id LIMIT 200) u LEFT JOIN h ON h.user_id = u.user_id"""))
+def evaluation_users(s, d):
+    """Two hundred users, those with a hit first: their histories and their ten recommendations."""
+    top = recall.label(_merged(s, d), _truth(s, d)).filter("rank <= 10").withColumn("pred_score", -F.col("rank").cast("double"))
+    out = ranker.eval_set(ranker.export_top(top.drop("rank"), 10), prep.histories(X.train(s, d), 10), 200)
+    return out.select("user_id", "history", F.transform("recommendations", lambda r: r["movie_id"]).alias("movies"))
+
+
 def _truth(s, d):
     return X.part_of(s, d, "test")
 
@@ -620,6 +640,14 @@ def corpus_dedupe(s, d):
     return text.build_corpus(_chunks(s, d), ["source_id", "pos"]).select("doc_id", "source_id", "pos", "text")
 
 
+@query(with_("sent", _CHUNKS + "SELECT row_number() OVER (ORDER BY source_id, pos) - 1 AS doc_id, source_id AS movie_id FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source_id, pos) AS rn FROM chunks) WHERE rn = 1"))
+def corpus_sink(s, d):
+    """The corpus and its document-to-movie map, written; the map read back."""
+    path = f"{root(s)}/corpus-{uuid.uuid4().hex}"
+    sinks.corpus(text.build_corpus(_chunks(s, d), ["source_id", "pos"]).withColumnRenamed("source_id", "movie_id"), path)
+    return readers.required(s, f"{path}/doc_to_movie")
+
+
 @query("""SELECT item_id AS movie_id, text, source FROM (
 SELECT p_partkey AS item_id, p_name || ': ' || p_name || ' by ' || p_brand || '.' AS text, 'overview' AS source FROM part
 UNION ALL SELECT p_partkey, p_name || ' — "' || p_type || '"', 'tagline' FROM part WHERE length(trim(p_type)) > 3
@@ -776,6 +804,18 @@ UNION ALL SELECT user_id, movie_id, h, r, j + 1, [list_max([greatest(best[p], CA
 SELECT w.user_id, w.movie_id, round(coalesce(best[len(w.r)] / CAST(len(w.h) AS DOUBLE), 0.0), 6) AS rouge_l FROM w LEFT JOIN lcs ON lcs.user_id = w.user_id AND lcs.movie_id = w.movie_id AND j = len(w.h)"""
 
 
+@query(f"""WITH {_REC}, n AS (SELECT conv_id, count(*) AS n FROM it GROUP BY 1)
+SELECT c AS condition, CAST(sum(CASE WHEN c = 'E2' THEN n - greatest(1, n // 2) ELSE n END) AS BIGINT) AS n_items FROM n, (SELECT unnest(['E1', 'E2', 'E3', 'E4']) AS c) GROUP BY 1""")
+def perturb_conditions(s, d):
+    """All four conditions through the dispatcher: how much evidence each leaves."""
+    docs = readers.parquet(s, d, "documents").select("doc_id", F.col("doc_id").alias("movie_id"), "text", "source")
+    out = None
+    for c in ("E1", "E2", "E3", "E4"):
+        n = explain.perturb(_records(s, d), c, "retrieval_only", docs).agg(F.sum(F.size("evidence_used")).alias("n_items")).select(F.lit(c).alias("condition"), "n_items")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query(with_("turnp", _LCS).replace("WITH ", "WITH RECURSIVE ", 1))
 def rouge_l(s, d):
     return X.turn_pairs(s, d).select("user_id", "movie_id", F.round(text.rouge_l(F.col("explanation"), F.array("evidence")), 6).alias("rouge_l"))
