@@ -105,7 +105,7 @@ def npy_vectors(s, d):
 
 
 @query(with_("pop", "SELECT p_partkey, coalesce(popularity, 0) AS popularity, 0 AS kg_recall_score FROM part LEFT JOIN pop ON item_id = p_partkey"))
-def optional_source(s, d):
+def source_or_zero(s, d):
     """A table that exists is joined; one that does not gives zeros."""
     path = _path(s, "popularity")
     sinks.overwrite(X.train(s, d).groupBy(F.col("item_id").alias("p_partkey")).agg(F.count(F.lit(1)).alias("popularity")), path)
