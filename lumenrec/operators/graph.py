@@ -208,35 +208,6 @@ def two_hop_paths(kg: DataFrame, pairs: DataFrame, per_pair: int = 5) -> DataFra
     return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_pair).select("user_id", "item_id", "source", "x.rel1", "x.mid", "x.rel2", "n")
 
 
-def shared_entities(kg: DataFrame, candidates: DataFrame, history: DataFrame) -> DataFrame:
-    """(user_id, item_id, n_history, n_actors, n_directors, n_genres, n_decade, n_co_liked).
-
-    ``candidates`` (user_id, item_id), ``history`` (user_id, source).  A user's
-    history is one row of links, which each candidate's own links intersect.
-    """
-    links = _small(item_links(kg), ["links"])
-    own = history.select("user_id", "source", _node("movie", F.col("source")).alias("node")).join(links, "node", "left")
-    none = F.array().cast("array<struct<mid:string,rel:string>>")
-    users = own.groupBy("user_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("links", none)))).alias("known"),
-        F.collect_set("node").alias("nodes"), F.count(F.lit(1)).alias("n_history"),
-        F.collect_set(F.struct("node", F.filter(F.coalesce("links", none), lambda x: x["rel"] == "released_in_decade").alias("decades"))).alias("dated"),
-    )
-    rows = candidates.select("user_id", "item_id", _node("movie", F.col("item_id")).alias("node")).join(users, "user_id")
-    rows = rows.join(links.select("node", F.col("links").alias("mine")), "node", "left").withColumn("mine", F.coalesce("mine", none))
-    shared = F.array_intersect("mine", "known")
-
-    def of(rel: str, name: str):
-        return F.size(F.filter("shared", lambda x: x["rel"] == rel)).cast("bigint").alias(name)
-
-    liked = F.transform(F.filter("mine", lambda x: x["rel"] == "co_liked"), lambda x: x["mid"])
-    return rows.withColumn("shared", shared).select(
-        "user_id", "item_id", "n_history", of("acted_by", "n_actors"), of("directed_by", "n_directors"), of("has_genre", "n_genres"),
-        F.size(F.filter("dated", lambda d: F.arrays_overlap(d["decades"], F.col("mine")))).cast("bigint").alias("n_decade"),
-        F.size(F.array_intersect(liked, F.col("nodes"))).cast("bigint").alias("n_co_liked"),
-    )
-
-
 #: Column of an item's fact numbers by relation.
 FACTS = {"acted_by": "actors", "directed_by": "directors", "has_genre": "genres", "released_in_decade": "decades"}
 
@@ -288,6 +259,31 @@ def pairwise(kg: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def shared_entities(kg: DataFrame, candidates: DataFrame, history: DataFrame) -> DataFrame:
+    """(user_id, item_id, n_history, n_actors, n_directors, n_genres, n_decade, n_co_liked).
+
+    ``candidates`` (user_id, item_id), ``history`` (user_id, source).  A user's
+    history is one row of entity numbers, which each candidate's own intersect.
+    """
+    items = _small(item_facts(kg), [*FACTS.values(), "liked"])
+    none, kinds = F.array().cast("array<bigint>"), ["actors", "directors", "genres"]
+    past = history.select("user_id", _node("movie", F.col("source")).alias("node")).join(items.select("node", *FACTS.values()), "node", "left")
+    users = past.groupBy("user_id").agg(
+        *[F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, none)))).alias(f"past_{c}") for c in kinds],
+        F.collect_list(F.coalesce("decades", none)).alias("dated"), F.collect_set("node").alias("nodes"), F.count(F.lit(1)).alias("n_history"),
+    )
+    rows = candidates.select("user_id", "item_id", _node("movie", F.col("item_id")).alias("node")).join(users, "user_id").join(items.select("node", *FACTS.values(), "liked"), "node", "left")
+
+    def size(c):
+        return F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+
+    same_decade = F.filter("dated", lambda own: F.arrays_overlap(own, F.coalesce("decades", none)))
+    return rows.select(
+        "user_id", "item_id", "n_history", *[size(F.array_intersect(F.coalesce(c, none), f"past_{c}")).alias(f"n_{c}") for c in kinds],
+        size(same_decade).alias("n_decade"), size(F.array_intersect(F.coalesce("liked", F.array().cast("array<string>")), F.col("nodes"))).alias("n_co_liked"),
+    )
+
+
 def user_candidate_features(kg: DataFrame, candidates: DataFrame, history: DataFrame) -> DataFrame:
     """Ten ``kg_`` columns for (user_id, item_id); ``history`` (user_id, source) counts whole, in or out of the graph.
 
