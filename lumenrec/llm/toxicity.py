@@ -43,7 +43,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 LEVELS = (2, 4)
 _STEP = 0x9E377
 _WORD = re.compile(r"[^\W_]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 _SLICE = 256  # rows featurised at a time, which bounds a worker's memory
 LEAST = 5  # rows that a term or a pair must be in to be tested
 
