@@ -142,7 +142,8 @@ def path_lengths(kg: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Up to two hops are told by the two ends' own links.  What is left (no source
     that near) is searched breadth-first from its sources, a hop a round, until
-    every candidate is met or no new node is reached.
+    every candidate is met or no new node is reached; the last hop is told by the
+    candidate's own links, so the widest frontier is never made.
     """
     named = _ends(pairs.select("user_id", "item_id", "source"))
     near = _with_links(named.select("s", "t").distinct(), _small(item_links(kg), ["links"]))
@@ -156,21 +157,28 @@ def path_lengths(kg: DataFrame, pairs: DataFrame) -> DataFrame:
     hops = store(named.join(told, ["s", "t"]).groupBy("user_id", "item_id").agg(F.min("h").alias("hops")), "hops")
     done, left = hops.filter("hops IS NOT NULL"), hops.filter("hops IS NULL").select("user_id", "item_id")
     open_ = store(named.join(left, ["user_id", "item_id"], "left_semi").select("user_id", "item_id", "s", "t"), "open")
-    edges = store(undirected(kg).select("src", "dst").distinct(), "edges") if not open_.isEmpty() else None
-    edge = reached = open_.select(F.col("s").alias("root"), F.col("s").alias("node")).distinct()
-    depth = 0
-    while edges is not None:
-        depth += 1
-        step = edge.join(edges, edge.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        edge = store(step.join(reached, ["root", "node"], "left_anti"), "frontier")
-        met = open_.join(edge, (open_.s == edge.root) & (open_.t == edge.node), "left_semi").select("user_id", "item_id").distinct()
-        met = store(met.withColumn("hops", F.lit(depth)), "met")
-        done = done.unionByName(met)
-        open_ = store(open_.join(met, ["user_id", "item_id"], "left_anti"), "open")
-        if open_.isEmpty() or edge.isEmpty():
-            break
-        roots = open_.select(F.col("s").alias("root")).distinct()
-        edge, reached = edge.join(roots, "root", "left_semi"), store(reached.unionByName(edge).join(roots, "root", "left_semi"), "reached")
+    if not open_.isEmpty():
+        edges = store(undirected(kg).select("src", "dst").distinct(), "edges")
+        edge = reached = open_.select(F.col("s").alias("root"), F.col("s").alias("node")).distinct()
+        depth = 0
+        while True:
+            depth += 1
+            step = edge.join(edges, edge.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
+            edge = store(step.join(reached, ["root", "node"], "left_anti"), "frontier")
+            if edge.isEmpty():
+                break
+            if depth > 1:  # a candidate is one hop further where the frontier holds a neighbour of it
+                ends = open_.join(edges.select(F.col("src").alias("t"), F.col("dst").alias("node")), "t")
+                met = ends.join(edge.withColumnRenamed("root", "s"), ["s", "node"], "left_semi").select("user_id", "item_id").distinct()
+                met = store(met.withColumn("hops", F.lit(depth + 1)), "met")
+                done = done.unionByName(met)
+                open_ = store(open_.join(met, ["user_id", "item_id"], "left_anti"), "open")
+                if open_.isEmpty():
+                    break
+                roots = open_.select(F.col("s").alias("root")).distinct()
+                edge, reached = edge.join(roots, "root", "left_semi"), store(reached.unionByName(edge).join(roots, "root", "left_semi"), "reached")
+            else:
+                reached = reached.unionByName(edge)
     never = open_.select("user_id", "item_id").distinct().withColumn("hops", F.lit(None).cast("int"))
     return done.unionByName(never)
 
