@@ -7,9 +7,12 @@ slot, so that pairs of terms interact.  Two kinds of slots enter it, at the
 significance that leaves noise out over all slots and pairs:
 
 * slots whose class counts differ by ``z`` standard deviations;
-* both words of a pair that toxic rows share more often, by ``pair_z`` standard
-  deviations, than either word's own share of toxic rows tells.  So an insult
-  and a group mention enter even where each alone says nothing.
+* both words of a pair that toxic rows share more often than either word's own
+  share of toxic rows tells: chance would do so for any pair at all with a
+  probability below ``chance`` (Chernoff's bound, over all pairs).  So an insult
+  and a group mention enter even where each alone says nothing.  This test alone
+  counts rows with one word-triple sketch (near copies, as a rule) once, since
+  copies are no independent evidence; all of them train the machine.
 
 Training rows: a bounded sample of labelled rows (``max_rows``, by hash of the
 id) outside the held-out fold; rows of one class with the same slots count once.
@@ -75,7 +78,7 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def pair_slots(toxic: list[np.ndarray], clean: list[np.ndarray], z: float) -> np.ndarray:
+def pair_slots(toxic: list[np.ndarray], clean: list[np.ndarray], chance: float) -> np.ndarray:
     """Slots of word pairs that toxic rows share beyond what either word alone tells.
 
     Rows are bits, so a pair's counts are the ones of two bit strings' conjunction.
@@ -99,20 +102,32 @@ def pair_slots(toxic: list[np.ndarray], clean: list[np.ndarray], z: float) -> np
     d1 = np.bitwise_count(ones).sum(1, dtype=np.int64)
     share = np.maximum(d1 / (d1 + np.bitwise_count(zeros).sum(1, dtype=np.int64)), n1 / n)
     chosen = np.zeros(len(slots), bool)
+    need = np.log(max(1, len(slots) * (len(slots) - 1) / 2) / chance)
     for a in range(len(slots) - 1):
         both = np.bitwise_count(ones[a] & ones[a + 1 :]).sum(1, dtype=np.int64)
         own = np.minimum(np.maximum(share[a], share[a + 1 :]), 1 - 1e-9)
-        able = np.flatnonzero((both >= LEAST) & (both * (1 - own) >= z * z * own))  # even if no clean row has both
+        able = np.flatnonzero((both >= LEAST) & (-both * np.log(own) >= need))  # if no clean row has both
         if len(able):
             all_ = both[able] + np.bitwise_count(zeros[a] & zeros[a + 1 + able]).sum(1, dtype=np.int64)
-            r = own[able]
-            hit = able[both[able] - all_ * r >= z * np.sqrt(all_ * r * (1 - r))]
+            r, q = own[able], np.minimum(both[able] / all_, 1 - 1e-12)
+            apart = q * np.log(q / r) + (1 - q) * np.log((1 - q) / (1 - r))
+            hit = able[(q > r) & (all_ * apart >= need)]
             if len(hit):
                 chosen[a] = True
                 chosen[a + 1 + hit] = True
     return slots[chosen]
 
 
+def sketch(tokens: list[str]) -> int:
+    """The smallest hash of the text's word triples."""
+    return min(crc32(" ".join(tokens[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(tokens) - 2)))
+
+
+def _once(sketches: np.ndarray, heads: list[np.ndarray]) -> list[np.ndarray]:
+    """One row's words of each sketch, the first in order."""
+    return [heads[i] for i in sorted(np.unique(sketches, return_index=True)[1])]
+
+
 @dataclass
 class Machine:
     """Bias, slot -> row, weights (k), vectors (k, rank)."""
@@ -168,7 +183,7 @@ def fit(x: np.ndarray, y: np.ndarray, rank: int = 8, epochs: int = 30, rate: flo
 
 
 def _gathered(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Classes and slot lists of at most ``max_rows`` rows, in an order of their own, without a Python object per slot."""
+    """Numbers and slot lists of at most ``max_rows`` rows, in an order of their own, without a Python object per slot."""
     got = rows.toArrow().combine_chunks()
     if not got.num_rows:
         return np.zeros(0, np.int64), []
@@ -181,7 +196,7 @@ def _gathered(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, z: float = 5.3, pair_z: float = 6.0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, z: float = 5.3, chance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text"
 ) -> Machine:
     """Fit on ``labels`` (id, toxic), at most ``max_rows`` of them."""
     sample = (
@@ -202,16 +217,17 @@ def train(
         for batch in batches:
             for k in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(k, _SLICE)
-                y, heads, slots = [], [], []
+                y, near, heads, slots = [], [], [], []
                 for label, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     tokens = words(t.as_py())
                     y.append(int(label))
+                    near.append(sketch(tokens))
                     heads.append(np.unique(np.array([word_slots(w)[0] for w in set(tokens)], np.int32)))
                     slots.append(text_slots(tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), lists(heads), lists(slots)], names=["y", "heads", "slots"])
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(near, pa.int64()), lists(heads), lists(slots)], names=["y", "near", "heads", "slots"])
 
-    made, path = table(joined.mapInArrow(features, "y int, heads array<int>, slots array<int>"), "toxic-sample")
-    rows, path2 = table(made.groupBy("y", "slots").agg(F.min("heads").alias("heads")), "toxic-rows")
+    made, path = table(joined.mapInArrow(features, "y int, near bigint, heads array<int>, slots array<int>"), "toxic-sample")
+    rows, path2 = table(made.groupBy("y", "slots").agg(F.min("near").alias("near"), F.min("heads").alias("heads")), "toxic-rows")
     remove(docs.sparkSession, path)
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or not 0 < n1 < n:
@@ -222,12 +238,15 @@ def train(
     counts = rows.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("d"), F.sum("y").alias("d1"))
     gap = F.abs(F.col("d1") - F.col("d") * p) / F.sqrt(F.col("d") * F.lit(p * (1 - p)))
     alone = {r.slot for r in counts.filter((F.col("d") >= LEAST) & (gap >= z)).select("slot").collect()}
-    y, heads = _gathered(rows.select("y", "heads"))
-    paired = pair_slots([h for t, h in zip(y, heads, strict=True) if t], [h for t, h in zip(y, heads, strict=True) if not t], pair_z)
+    classes = []
+    for kind in (1, 0):
+        near, heads = _gathered(rows.filter((F.col("y") > 0) == bool(kind)).select("near", "heads"))
+        classes.append(_once(near, heads))
+    paired = pair_slots(*classes, chance)
     chosen = sorted(alone | set(paired.tolist()))
     if not chosen:
         return Machine(float(np.log(p / (1 - p))), {}, np.zeros(0), np.zeros((0, 1)))
-    del heads, paired
+    del classes, heads, paired
     place = np.array(chosen)
     keep = F.array_intersect("slots", F.array(*[F.lit(s) for s in chosen]).cast("array<int>"))
     y, slots = _gathered(rows.select("y", keep.alias("slots")))
