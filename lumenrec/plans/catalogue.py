@@ -16,7 +16,7 @@ from lumenrec.plans.registry import oracle_sql, queries, query
 from lumenrec.plans.sql import with_
 from lumenrec.sources import fixtures as X
 from lumenrec.sources import readers, sinks
-from lumenrec.sources.workspace import root, store, stored
+from lumenrec.sources.workspace import root, stored
 from lumenrec.streaming import resume
 
 __all__ = ["oracle_sql", "queries", "storage"]

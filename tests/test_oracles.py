@@ -42,5 +42,5 @@ def test_rows_only_queries_are_repeatable(spark, name):
     q = catalogue.queries()[name]
     rows = sorted(map(str, q(spark, DATA).collect()))
     assert rows
-    if name in ("perturb_e3", "perturb_e4", "rouge_l", "bertscore_like", "bootstrap_ci", "transe_embed"):
+    if name in ("bertscore_like", "export_topk", "ranker_metrics"):
         assert rows == sorted(map(str, q(spark, DATA).collect()))
