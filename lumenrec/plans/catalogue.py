@@ -783,10 +783,10 @@ _HASH = "CAST('0x' || substr(md5(%s || ':42'), 1, 8) AS BIGINT)"
 
 
 @query(f"""WITH {_REC}, l AS (SELECT conv_id, max(turn) AS last FROM it GROUP BY 1), o AS (SELECT it.conv_id, turn, row_number() OVER (PARTITION BY it.conv_id ORDER BY turn) - 1 AS i, last FROM it JOIN l ON l.conv_id = it.conv_id)
-SELECT conv_id AS user_id, list(turn ORDER BY {_HASH % "conv_id || '_' || last || ':' || i"}, i) AS "order" FROM o GROUP BY 1""")
+SELECT conv_id AS user_id, list(turn ORDER BY {_HASH % "conv_id || '_' || last || ':' || i"}, i) AS turns FROM o GROUP BY 1""")
 def perturb_e3(s, d):
     out = explain.perturb(_records(s, d), "E3", "retrieval_only")
-    return out.select("user_id", F.transform("evidence_used", lambda e: e["movie_id"]).alias("order"))
+    return out.select("user_id", F.transform("evidence_used", lambda e: e["movie_id"]).alias("turns"))
 
 
 @query(f"""WITH {_REC}, rec AS (SELECT conv_id AS user_id, max(turn) AS movie_id, count(*) AS k FROM it GROUP BY 1), c AS (SELECT doc_id, row_number() OVER (ORDER BY {_HASH % "doc_id"}, doc_id) - 1 AS place, count(*) OVER () AS n FROM documents),
