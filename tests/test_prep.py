@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenrec.operators import prep
-from lumenrec.sources import readers, sinks
+from lumenrec.sources import readers, sinks, workspace
 
 
 def ix(spark, rows):
@@ -119,3 +119,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "f" / "metadata")).first().value == '{"n": 2}'
     table = sinks.markdown([{"metric": "x", "v": 0.123456789, "n": float("nan")}, {"metric": "longer", "v": 2.0}], ["metric", "v", "n"])
     assert table.split("\n")[2].startswith("| x      | 0.123457 |") and "nan" not in table
+
+
+def test_stored_tables_leave_no_rounds_and_no_shuffles(spark, tmp_path, monkeypatch):
+    """Of a k-core only the last round stays; shuffle files go with a stored table's write and the setting returns."""
+    monkeypatch.setattr(workspace, "root", lambda _: f"file://{tmp_path}")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    out = prep.k_core(ix(spark, [(u, i, u + i) for u in range(6) for i in range(6)] + [(9, 9, 9)]), 2, 2)
+    assert out.count() == 36
+    assert len(list(tmp_path.glob("k-core-*"))) == 1
+    assert spark.conf.get(name) == before
+    with workspace._swept(spark):
+        assert spark.conf.get(name) == "true"

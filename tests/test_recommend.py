@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,30 @@ def test_features(spark):
     got = [r.c for r in spark.createDataFrame([("kg_recall_score",), ("cf_score",), ("popularity",)], "f string").select(features.category(F.col("f")).alias("c")).collect()]
     assert got == ["KG", "CF", "Content"]
     assert features.resolve(features.FEATURE_SETS["V3"], ["cf_score", "kg_a", "kg_emb_x", "kg_recall_score"]) == ["cf_score", "kg_recall_score", "kg_a"]
+
+
+def test_item_cf_in_parts(spark, monkeypatch):
+    """Lists cut in parts, several passes and small groups give the plain sums."""
+    monkeypatch.setattr(recall, "CHUNK", 2)
+    monkeypatch.setattr(recall, "PASS_ENTRIES", 5)
+    pairs = sorted({(u, (u * 7 + k * k) % 11) for u in range(9) for k in range(2 + u % 4)})
+    users = {u: {i for v, i in pairs if v == u} for u, _ in pairs}
+    d = {i: sum(i in own for own in users.values()) for _, i in pairs}
+    want = {}
+    for u, own in users.items():
+        s = {j: sum(sum({i, j} <= o for o in users.values()) / math.sqrt(d[i] * d[j]) for i in own) for j in d if j not in own}
+        for rank, j in enumerate(sorted(s, key=lambda j: (s[j] == 0, -round(s[j], 6), j))[:4], 1):
+            want[u, j] = (rank, pytest.approx(s[j]))
+    got = recall.item_cf(ix(spark, pairs), 4)
+    assert {(r.user_id, r.item_id): (r["rank"], r.score) for r in got.collect()} == want
+
+
+def test_neighbour_counts_by_parts(monkeypatch):
+    monkeypatch.setattr(recall, "CHUNK", 2)
+    monkeypatch.setattr(recall, "SUM_ENTRIES", 1)
+    rows = [(u, i, 3, part, [3] * len(part)) for i in (1, 2, 3, 4) for u in (1, 2, 3) for part in ([1, 2], [3, 4])]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=["user_id", "item_id", "d", "near", "dn"])
+    made = [r for b in recall._count(iter([batch])) for r in b.to_pylist()]
+    assert all(len(r["users"]) <= 2 and len(r["near"]) <= 2 for r in made)
+    got = sorted((r["item_id"], u, j, s) for r in made for u in r["users"] for j, s in zip(r["near"], r["sims"], strict=True))
+    assert got == [(i, u, j, 1.0) for i in (1, 2, 3, 4) for u in (1, 2, 3) for j in (1, 2, 3, 4) if j != i]
