@@ -162,3 +162,9 @@ def test_neighbour_counts_by_parts(monkeypatch):
     assert all(len(r["users"]) <= 2 and len(r["near"]) <= 2 for r in made)
     got = sorted((r["item_id"], u, j, s) for r in made for u in r["users"] for j, s in zip(r["near"], r["sims"], strict=True))
     assert got == [(i, u, j, 1.0) for i in (1, 2, 3, 4) for u in (1, 2, 3) for j in (1, 2, 3, 4) if j != i]
+
+
+def test_merge_takes_one_exchange(spark):
+    routes = [spark.createDataFrame([(1, 10, 0.9, 1)], "user_id bigint, item_id bigint, score double, rank int") for _ in range(2)]
+    plan = recall.merge_routes(*routes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
