@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenrec.functions import metrics
 from lumenrec.functions import vectors as V
-from lumenrec.operators import features, graph, recall
+from lumenrec.operators import features, graph, ranker, recall
 
 
 def ix(spark, rows):
@@ -168,3 +168,18 @@ def test_merge_takes_one_exchange(spark):
     routes = [spark.createDataFrame([(1, 10, 0.9, 1)], "user_id bigint, item_id bigint, score double, rank int") for _ in range(2)]
     plan = recall.merge_routes(*routes)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def _plan_of_shuffles(spark, make) -> str:
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_labels_and_caps_deal_candidates_once(spark):
+    cand = spark.createDataFrame([(1, 2), (1, 3), (2, 2)], "user_id bigint, item_id bigint")
+    pos = spark.createDataFrame([(1, 3), (1, 3), (3, 2)], "user_id bigint, item_id bigint")
+    assert sorted(map(tuple, recall.label(cand, pos).collect())) == [(1, 2, 0), (1, 3, 1), (2, 2, 0)]
+    assert _plan_of_shuffles(spark, lambda: ranker.cap_groups(recall.label(cand, pos), 1)).count("Exchange hashpartitioning") == 2
