@@ -183,3 +183,12 @@ def test_labels_and_caps_deal_candidates_once(spark):
     pos = spark.createDataFrame([(1, 3), (1, 3), (3, 2)], "user_id bigint, item_id bigint")
     assert sorted(map(tuple, recall.label(cand, pos).collect())) == [(1, 2, 0), (1, 3, 1), (2, 2, 0)]
     assert _plan_of_shuffles(spark, lambda: ranker.cap_groups(recall.label(cand, pos), 1)).count("Exchange hashpartitioning") == 2
+
+
+def test_metrics_of_all_cuts_take_one_pass(spark):
+    ranked = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (1, 7, 3), (2, 5, 1), (3, 5, 1)], "user_id bigint, item_id bigint, rank int")
+    truth = spark.createDataFrame([(1, 6), (1, 8), (2, 6), (4, 5)], "user_id bigint, item_id bigint")
+    got = {r.k: r for r in metrics.at_k(ranked, truth, [1, 2]).collect()}
+    assert (got[1].users, got[1].hit, got[1].mrr) == (2, 0.0, 0.0) and (got[2].hit, got[2].recall, got[2].mrr) == (0.5, 0.25, 0.25)
+    assert got[2].ndcg == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)) / 2)
+    assert _plan_of_shuffles(spark, lambda: metrics.at_k(ranked, truth, [1, 5, 10])).count("Exchange hashpartitioning") <= 9
