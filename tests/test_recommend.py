@@ -192,3 +192,11 @@ def test_metrics_of_all_cuts_take_one_pass(spark):
     assert (got[1].users, got[1].hit, got[1].mrr) == (2, 0.0, 0.0) and (got[2].hit, got[2].recall, got[2].mrr) == (0.5, 0.25, 0.25)
     assert got[2].ndcg == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)) / 2)
     assert _plan_of_shuffles(spark, lambda: metrics.at_k(ranked, truth, [1, 5, 10])).count("Exchange hashpartitioning") <= 9
+
+
+def test_merge_for_users_without_vectors_takes_one_exchange(spark):
+    cf = spark.createDataFrame([(u, i, 1.0 - i / 10, i) for u in (1, 2) for i in (1, 2, 3)], "user_id bigint, item_id bigint, score double, rank int")
+    kg = spark.createDataFrame([(1, 3, 0.5, 1)], "user_id bigint, item_id bigint, score double, rank int")
+    merge = lambda: recall.merge_routes(cf, kg, n_cf=1, n_total=2, cf_only_users=True)
+    assert sorted((r.user_id, r.item_id, r.cf_score, r.source) for r in merge().collect()) == [(1, 1, 0.9, "cf"), (1, 3, 0.0, "kg"), (2, 1, 0.9, "cf"), (2, 2, 0.8, "cf")]
+    assert _plan_of_shuffles(spark, merge).count("Exchange hashpartitioning") == 1
