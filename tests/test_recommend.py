@@ -200,3 +200,15 @@ def test_merge_for_users_without_vectors_takes_one_exchange(spark):
     merge = lambda: recall.merge_routes(cf, kg, n_cf=1, n_total=2, cf_only_users=True)
     assert sorted((r.user_id, r.item_id, r.cf_score, r.source) for r in merge().collect()) == [(1, 1, 0.9, "cf"), (1, 3, 0.0, "kg"), (2, 1, 0.9, "cf"), (2, 2, 0.8, "cf")]
     assert _plan_of_shuffles(spark, merge).count("Exchange hashpartitioning") == 1
+
+
+def test_user_features_by_shares_of_users(spark, monkeypatch):
+    g, cand = kg(spark), spark.createDataFrame([(7, 2), (8, 2), (7, 3), (9, 77)], "user_id bigint, item_id bigint")
+    hist = spark.createDataFrame([(7, 1), (7, 3), (9, 1), (10, 1)], "user_id bigint, source bigint")
+    whole = sorted(map(tuple, graph.user_candidate_features(g, cand, hist).collect()))
+    monkeypatch.setattr(graph, "PASS_ROWS", 1)
+    made = graph.user_candidate_features(g, cand, hist)
+    assert sorted(map(tuple, made.collect())) == whole and len(whole) == 4
+    pair = {(r.a, r.b): r for r in graph.pairwise(g, cand.join(hist, "user_id").select(F.col("source").alias("a"), F.col("item_id").alias("b"))).collect()}
+    one = next(r for r in made.collect() if (r.user_id, r.item_id) == (7, 2))
+    assert one.kg_same_genre_count_sum == pair[1, 2].same_genre_count + pair[3, 2].same_genre_count and one.kg_shared_actor_idf_sum == pytest.approx(pair[1, 2].shared_actor_idf + pair[3, 2].shared_actor_idf)
