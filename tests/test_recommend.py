@@ -212,3 +212,16 @@ def test_user_features_by_shares_of_users(spark, monkeypatch):
     pair = {(r.a, r.b): r for r in graph.pairwise(g, cand.join(hist, "user_id").select(F.col("source").alias("a"), F.col("item_id").alias("b"))).collect()}
     one = next(r for r in made.collect() if (r.user_id, r.item_id) == (7, 2))
     assert one.kg_same_genre_count_sum == pair[1, 2].same_genre_count + pair[3, 2].same_genre_count and one.kg_shared_actor_idf_sum == pytest.approx(pair[1, 2].shared_actor_idf + pair[3, 2].shared_actor_idf)
+
+
+def test_frame_by_shares_of_users(spark, monkeypatch):
+    vec = spark.createDataFrame([(1, [3.0, 4.0]), (2, [1.0, 0.0])], "item_id bigint, vector array<double>")
+    train = ix(spark, [(1, 1), (1, 50), (2, 1), (3, 2)])
+    cand = spark.createDataFrame([(1, 2, 0.5), (2, 2, 0.25), (3, 1, 0.1), (3, 77, 0.0)], "user_id bigint, item_id bigint, cf_score double")
+    meta = spark.createDataFrame([(1, 9), (2, 8)], "item_id bigint, vote_count bigint")
+    kgf = cand.select("user_id", "item_id", F.lit(1).cast("bigint").alias("kg_x"))
+    users, pos = spark.createDataFrame([(1, True), (2, False), (3, False)], "user_id bigint, is_val boolean"), spark.createDataFrame([(3, 1)], "user_id bigint, item_id bigint")
+    make = lambda: sorted(map(tuple, features.frame(cand, train, meta, vec, kgf, users, {"label_val": pos.limit(0), "label_test": pos}).collect()))
+    whole = make()
+    monkeypatch.setattr(features, "PASS_ROWS", 1)
+    assert make() == whole and [r[:6] for r in whole] == [(1, 2, 0.5, True, 0, 0), (2, 2, 0.25, False, 0, 0), (3, 1, 0.1, False, 0, 1), (3, 77, 0.0, False, 0, 0)]
