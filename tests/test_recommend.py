@@ -225,3 +225,13 @@ def test_frame_by_shares_of_users(spark, monkeypatch):
     whole = make()
     monkeypatch.setattr(features, "PASS_ROWS", 1)
     assert make() == whole and [r[:6] for r in whole] == [(1, 2, 0.5, True, 0, 0), (2, 2, 0.25, False, 0, 0), (3, 1, 0.1, False, 0, 1), (3, 77, 0.0, False, 0, 0)]
+
+
+def test_shared_entities_by_shares_of_users(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PASS_ROWS", 1)
+    cand = spark.createDataFrame([(7, 2), (8, 2), (7, 3)], "user_id bigint, item_id bigint")
+    hist = spark.createDataFrame([(7, 1), (7, 999)], "user_id bigint, source bigint")
+    got = {(r.user_id, r.item_id): r for r in graph.shared_entities(kg(spark), cand, hist).collect()}
+    assert set(got) == {(7, 2), (7, 3)} and got[7, 3].n_co_liked == 1
+    two = got[7, 2]
+    assert (two.n_history, two.n_actors, two.n_directors, two.n_genres, two.n_decade, two.n_co_liked) == (2, 1, 1, 1, 1, 0)
