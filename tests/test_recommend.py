@@ -235,3 +235,16 @@ def test_shared_entities_by_shares_of_users(spark, monkeypatch):
     assert set(got) == {(7, 2), (7, 3)} and got[7, 3].n_co_liked == 1
     two = got[7, 2]
     assert (two.n_history, two.n_actors, two.n_directors, two.n_genres, two.n_decade, two.n_co_liked) == (2, 1, 1, 1, 1, 0)
+
+
+def test_frontiers_hold_64_roots_a_row(spark, monkeypatch):
+    """A hub's items are reached once for each 64 roots, not once for each root."""
+    rows = [(f"movie_{k}", "has_genre", "genre_g") for k in range(70)] + [("movie_0", "has_genre", "genre_h"), ("movie_99", "has_genre", "genre_h")]
+    g = spark.createDataFrame(rows, "head string, relation string, tail string")
+    made = []
+    kept = graph.store
+    monkeypatch.setattr(graph, "store", lambda df, name="table": made.append((name, kept(df, name))) or made[-1][1])
+    cand = spark.createDataFrame([(k, 99) for k in range(1, 70)], "user_id bigint, item_id bigint")
+    hist = cand.selectExpr("user_id", "user_id AS source")
+    assert {(r.item_id, r.hops) for r in graph.user_path_lengths(g, cand, hist).collect()} == {(99, 4)}
+    assert max(df.count() for name, df in made if name == "frontier") <= 73 * 2
