@@ -248,3 +248,12 @@ def test_frontiers_hold_64_roots_a_row(spark, monkeypatch):
     hist = cand.selectExpr("user_id", "user_id AS source")
     assert {(r.item_id, r.hops) for r in graph.user_path_lengths(g, cand, hist).collect()} == {(99, 4)}
     assert max(df.count() for name, df in made if name == "frontier") <= 73 * 2
+
+
+def test_compensated_reads_cf_of_kg_users_only(spark):
+    """Users without KG rows leave before the exchanges."""
+    cf = spark.createDataFrame([(u, i, 1.0, i) for u in (1, 2) for i in (1, 2)], "user_id bigint, item_id bigint, score double, rank int")
+    kg_rows = spark.createDataFrame([(1, 2, 0.9, 1), (1, 3, 0.8, 2)], "user_id bigint, item_id bigint, score double, rank int")
+    out = recall.compensated_kg(cf, kg_rows)
+    assert {(r.user_id, r.item_id) for r in out.collect()} == {(1, 2), (1, 3)}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
