@@ -257,3 +257,15 @@ def test_compensated_reads_cf_of_kg_users_only(spark):
     out = recall.compensated_kg(cf, kg_rows)
     assert {(r.user_id, r.item_id) for r in out.collect()} == {(1, 2), (1, 3)}
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_user_paths_in_passes(spark, monkeypatch):
+    """Links meet by user, a share of the users at a time: no pair of ends carries links."""
+    g = kg(spark)
+    cand = spark.createDataFrame([(1, 3), (1, 4), (2, 2)], "user_id bigint, item_id bigint")
+    hist = spark.createDataFrame([(1, 1, 1), (2, 3, 1), (2, 1, 2), (2, 999, 3)], "user_id bigint, source bigint, age int")
+    whole = sorted(map(str, graph.user_paths(g, cand, hist).collect()))
+    monkeypatch.setattr(graph, "PATH_ROWS", 1)
+    assert whole and sorted(map(str, graph.user_paths(g, cand, hist).collect())) == whole
+    pairs = cand.join(hist, "user_id")
+    assert sorted(map(str, graph.two_hop_paths(g, pairs).select("user_id", "item_id", "source", "rel1", "mid", "rel2", "n").collect())) == whole
