@@ -46,6 +46,25 @@ def test_decay_weights(spark):
     assert one == pytest.approx([0, 1, 0])
 
 
+def test_many_items_meet_the_queries_without_copies_of_queries(spark, monkeypatch):
+    """Items beyond the limit travel in shares: no query goes to each block of items, and the best equal brute force."""
+    import numpy as np
+
+    monkeypatch.setattr(V, "BLOCK", 3)
+    monkeypatch.setattr(V, "BROADCAST_LIMIT", 64)
+    rng = np.random.default_rng(3)
+    q, x = rng.integers(-2, 3, (9, 2)).astype(float), rng.integers(-2, 3, (14, 2)).astype(float)
+    asked = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(q)], "q bigint, vector array<double>")
+    items = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "item_id bigint, vector array<double>")
+    seen = spark.createDataFrame([(i, i % 5) for i in range(8)], "q bigint, item_id bigint")
+    top = V.top_inner_products(asked, items, 4, seen)
+    assert "FlatMapCoGroups" not in top._jdf.queryExecution().toString() and "Exchange" not in top._jdf.queryExecution().toString()
+    got = {(r.q, r["rank"]): (r.item_id, r.score) for r in top.collect()}
+    for i in range(9):
+        best = sorted((j for j in range(14) if i > 7 or j != i % 5), key=lambda j: (-(q[i] @ x[j]), j))[:4]
+        assert [got[i, n + 1] for n in range(4)] == [(j, q[i] @ x[j]) for j in best]
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_top_inner_products_excludes_and_blocks(spark, monkeypatch, limit):
     monkeypatch.setattr(V, "BLOCK", 2)
