@@ -29,6 +29,28 @@ def test_k_core_reaches_a_fixpoint(spark):
     assert prep.k_core(ix(spark, [(1, 1, 1)]), 2, 2).count() == 0
 
 
+def staircase(steps):
+    """Interactions whose (2, 2)-core needs a round for each step: a path falls key by key from its end; a square stays."""
+    path = [(100 + k // 2 + k % 2, 200 + k // 2, k) for k in range(2 * steps + 1)]
+    return path + [(u, i, 0) for u in (1, 2) for i in (1, 2)] + [(1, 200 + steps, 0)]
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_k_core_of_many_rounds_deals_the_rows_once(spark, monkeypatch, broadcast):
+    written, real = [], prep.store
+    monkeypatch.setattr(prep, "store", lambda df, name="table": (written.append(name), real(df, name))[1])
+    monkeypatch.setattr(prep, "BROADCAST_KEYS", broadcast, raising=False)
+    rows = staircase(4) + [(None, 1, 0), (1, None, 0), (None, None, 0)]
+    left, size = {r for r in rows if None not in r}, None
+    while size != len(left):
+        size = len(left)
+        for side in (0, 1):
+            have = [r[side] for r in left]
+            left = {r for r in left if have.count(r[side]) >= 2}
+    assert {tuple(r) for r in prep.k_core(ix(spark, rows), 2, 2).collect()} == left == {(u, i, 0) for u in (1, 2) for i in (1, 2)}
+    assert written.count("k-core") == 1 and written.count("few") > 6  # rows are not written anew for a round
+
+
 def test_histories_and_last_n(spark):
     rows = [(1, k, k) for k in range(30)] + [(2, 5, 1), (2, 4, 1)]
     got = {r.user_id: r.history for r in prep.histories(ix(spark, rows), 20).collect()}
